@@ -8,9 +8,8 @@ and an equi-join on the keys meets every pair within that distance. At similarit
 probability 0.77, so a pair is missed with probability 0.23**7, about 3 in 100000, and less above it.
 
 Texts with the same set form a class first; only class representatives (least doc_id) are joined. Pairs of a bucket are not all
-emitted: leaders are compared with the other members, links are confirmed on the full shingle sets, components are
-contracted, and only buckets that still hold several components go on, with four times as many leaders. A leader leaves its bucket after it
-has met every member; so every candidate pair of different components is tested or made needless by a link.
+emitted: leaders meet members, links are confirmed on the full shingle sets and components contracted, until no bucket holds
+two components that have not met (`buckets`).
 
 Null and empty texts have an empty set and no links. Repeated rows (same id) get the same result each; an empty table gives
 an empty result; other columns are ignored.
@@ -26,15 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import tables
+from evidentia.llm.buckets import linked_components, shared_keys
 from evidentia.llm.bytesets import U64, Words, slices, splitmix, utf8
-from evidentia.llm.components import components
 
 SHINGLE = 5
 CHUNKS, WIDTH = 7, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Pairs at a larger distance are not verified: at similarity 0.85 the distance is 6.3 +- 2.3.
 MOST_ERRORS = 20
-LEADERS = 4
 
 _XOR = splitmix(np.arange(1, SYMBOLS + 1, dtype=U64))
 _MUL = splitmix(np.arange(1001, SYMBOLS + 1001, dtype=U64)) | U64(1)
@@ -134,40 +132,19 @@ def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
     """(node, root): components of representatives that have a link."""
     reps = classes.select("rep", "signature")
-    keyed = reps.mapInArrow(_keys, "key long, rep long")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("key")
-    active = tables.written(keyed.join(shared, "key"))
+    active = tables.written(shared_keys(reps.mapInArrow(_keys, "key long, rep long")))
     ids = active.select(F.col("rep").alias("doc_id")).distinct()
     held = tables.written(tables.texts(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), bytes_heavy=True)
-    roots = active.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
-    edges = tested = None
-    salts = 1
-    while True:
-        placed = active.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        if edges is not None:  # buckets with several components go on
-            several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-            placed = placed.join(several, "key", "left_semi")
-        active = tables.written(placed)
-        if active.isEmpty():
-            return roots
-        salt = F.pmod(F.xxhash64("rep", F.lit(salts)), F.lit(salts))
-        lead = active.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("rep", "root")).alias("lead")).select("key", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
-        met = active.join(lead, "key").where("root <> lead_root")
-        pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+
+    def judge(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("signature").alias(f"sig_{side}")), side)
         near = pairs.mapInArrow(_close, "a long, b long")
         for side in ("b", "a"):
             near = near.join(held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
-        judged = tables.written(near.mapInArrow(_confirm(percent), "a long, b long, linked boolean"))
-        found, failed = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
-        edges = found if edges is None else edges.union(found)
-        tested = failed if tested is None else tested.union(failed)
-        roots = components(edges)
-        active = active.join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        salts *= LEADERS
+        return near.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
+
+    return linked_components(active, judge)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
