@@ -1,9 +1,12 @@
 """Links among the members of candidate buckets, without emitting all pairs of a bucket.
 
-Each round picks leaders in every bucket, compares them with the members of other components, contracts the components, and
-lets the leaders go: they have met every member. Buckets left with one component are done. So every candidate pair is either
-compared or joined through other links, a large group of copies is done in a round, and pairs grow with the square of a bucket only
-where its members really are all different. The number of leaders grows fourfold each round, so rounds are few.
+First, twice, leaders are picked in every bucket (one, then up to four), compared with the members of other components, and
+let go: they have met every member. Components are contracted after each round, and buckets left with one component are done; that
+settles small buckets and most members of large groups, with a number of pairs in proportion to the members.
+
+What is left, buckets whose members are mutually alike but not all linked, is compared exactly in blocks: a bucket is dealt into
+blocks of bounded rows and bytes, every pair of blocks is one row of bounded size, and a row yields only the pairs of components that it
+links. So hot buckets spread over tasks, and nothing of the size of a bucket is ever held or emitted as pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 from evidentia.llm import tables
 from evidentia.llm.components import components
 
-LEADERS = 4
+ROUNDS = (1, 4)
+BLOCK_ROWS, BLOCK_BYTES = 128, 8 << 20
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -24,28 +28,52 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
 
 
-def linked_components(active: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of reps with a link. active: a written table of distinct (key, rep); judge: pairs (a, b) to (a, b, linked),
-    where it may leave out pairs that are surely not linked."""
-    roots = active.select(F.col("rep").alias("node"), F.col("rep").alias("root")).limit(0)
-    edges = tested = None
-    salts = 1
-    while True:
-        placed = active.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-        several = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        active = tables.written(placed.join(several, "key", "left_semi"))
+def _several(active: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, rep, root) of the buckets that hold several components."""
+    if roots is None:
+        return active.select("key", "rep", F.col("rep").alias("root"))
+    placed = active.select("key", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return placed.join(keys, "key", "left_semi")
+
+
+def _blocks(active: DataFrame, payload: DataFrame) -> DataFrame:
+    """One row per pair of blocks of a bucket: members (rep, root, half, payload); half: 1 and 2 name the two blocks, 0 stands for one block with itself."""
+    sized = active.join(payload.select("rep", "size"), "rep")
+    counts = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    dealt = active.join(counts.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    placed = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "root", half.alias("half"))
+    return placed.join(payload.select("rep", "payload"), "rep").groupBy("key", "i", "j").agg(F.collect_list(F.struct("rep", "root", "half", "payload")).alias("members"))
+
+
+def linked_components(
+    active: DataFrame, judge: Callable[[DataFrame], DataFrame], judge_blocks: Callable[[DataFrame], DataFrame], payload: DataFrame
+) -> DataFrame:
+    """(node, root) of reps with a link.
+
+    active: a written table of distinct (key, rep). judge: pairs (a, b) to (a, b, linked), where pairs that are surely not linked
+    may be left out. judge_blocks: rows with `members` to pairs (a, b) of linked roots. payload: (rep, size in bytes, payload).
+    """
+    edges = active.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    roots = tested = None
+    for leaders in ROUNDS:
+        active = tables.written(_several(active, roots))
         if active.isEmpty():
-            return roots
-        salt = F.pmod(F.xxhash64("rep", F.lit(salts)), F.lit(salts))
+            break
+        salt = F.pmod(F.xxhash64("rep"), F.lit(leaders))
         lead = active.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("rep", "root")).alias("lead")).select("key", F.col("lead.rep").alias("lead"), F.col("lead.root").alias("lead_root"))
         met = active.join(lead, "key").where("root <> lead_root")
         pairs = met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         judged = tables.written(judge(pairs))
-        found, failed = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
-        edges = found if edges is None else edges.union(found)
-        tested = failed if tested is None else tested.union(failed)
+        edges, tested = edges.union(judged.where("linked").select("a", "b")), judged.where("not linked").select("a", "b")
         roots = components(edges)
         active = active.join(lead.select("key", F.col("lead").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-        salts *= LEADERS
+    left = tables.written(_several(active, roots))
+    if not left.isEmpty():
+        roots = components(edges.union(tables.written(judge_blocks(_blocks(left, payload)).distinct())))
+    return roots if roots is not None else components(edges)

@@ -65,7 +65,17 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         both = pairs.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
         return both.select("a", "b", (100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).alias("linked"))
 
-    roots = linked_components(active, judge).select(F.col("node").alias("lid"), "root")
+    def judge_blocks(blocks: DataFrame) -> DataFrame:
+        # (100 + percent) * common >= percent * (sizes), with a bound by the sizes first
+        like = f"""least(size(a.payload), size(b.payload)) * 100 >= {percent} * greatest(size(a.payload), size(b.payload))
+            and {100 + percent} * size(array_intersect(a.payload, b.payload)) >= {percent} * (size(a.payload) + size(b.payload))"""
+        of = "struct(least(a.root, b.root) as a, greatest(a.root, b.root) as b)"
+        met = "a.root <> b.root and (a.half = 0 and a.root < b.root or a.half = 1 and b.half = 2)"
+        linked = f"array_distinct(flatten(transform(members, a -> transform(filter(members, b -> {met} and {like}), b -> {of}))))"
+        return blocks.select(F.explode(F.expr(linked)).alias("e")).select("e.a", "e.b")
+
+    payload = sets.select("rep", (8 * F.size("set")).alias("size"), F.col("set").alias("payload"))
+    roots = linked_components(active, judge, judge_blocks, payload).select(F.col("node").alias("lid"), "root")
     rooted = distinct.select("lid", "place", "n").join(roots, "lid", "left").where("n > 1 or root is not null").select("lid", "place", F.coalesce("root", "lid").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     decided = rooted.join(keepers, "root").select("lid", "keeper")

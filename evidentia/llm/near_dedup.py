@@ -8,8 +8,8 @@ and an equi-join on the keys meets every pair within that distance. At similarit
 probability 0.77, so a pair is missed with probability 0.23**7, about 3 in 100000, and less above it.
 
 Texts with the same set form a class first; only class representatives (least doc_id) are joined. Pairs of a bucket are not all
-emitted: leaders meet members, links are confirmed on the full shingle sets and components contracted, until no bucket holds
-two components that have not met (`buckets`).
+emitted: leaders meet members and components are contracted, then what is left is compared exactly in blocks (`buckets`). Links are
+confirmed on the full shingle sets.
 
 Null and empty texts have an empty set and no links. Repeated rows (same id) get the same result each; an empty table gives
 an empty result; other columns are ignored.
@@ -121,6 +121,40 @@ def _confirm(percent: int):
     return run
 
 
+def _confirm_blocks(percent: int):
+    """Exact comparison of all members of a row, by products of 0/1 matrices over runs of shingles; yields the roots that it links."""
+    run_of = 4096
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for members in batch.column("members"):
+                rows = members.values
+                root, half = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("root", "half"))
+                h, row = shingle_sets(*utf8(rows.field("payload")))
+                n = np.bincount(row, minlength=len(root))
+                _, column, held_by = np.unique(h, return_inverse=True, return_counts=True)
+                keep = held_by[column] > 1
+                names, column = np.unique(column[keep], return_inverse=True)
+                row = row[keep]
+                order = np.argsort(column, kind="stable")
+                column, row = column[order], row[order]
+                inter = np.zeros((len(root), len(root)), np.float32)
+                for first in range(0, len(names), run_of):
+                    a, b = np.searchsorted(column, (first, first + run_of))
+                    part = np.zeros((len(root), run_of), np.float32)
+                    part[row[a:b], column[a:b] - first] = 1
+                    inter += part @ part.T
+                linked = (inter > 0) & (100 * inter.astype(np.int64) >= percent * (n[:, None] + n[None, :] - inter.astype(np.int64)))
+                linked &= (root[:, None] < root[None, :]) & ((half[:, None] != half[None, :]) | (half[:, None] == 0))
+                x, y = np.nonzero(linked)
+                out += {*zip(root[x].tolist(), root[y].tolist(), strict=True)}
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, set_a, set_b) of every text, and (set_a, set_b, rep, signature) of every distinct set."""
     schema = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
@@ -144,7 +178,11 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
             near = near.join(held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
         return near.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
 
-    return linked_components(active, judge)
+    def judge_blocks(blocks: DataFrame) -> DataFrame:
+        return blocks.select("members").mapInArrow(_confirm_blocks(percent), "a long, b long")
+
+    payload = held.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("size"), F.col("text").alias("payload"))
+    return linked_components(active, judge, judge_blocks, payload)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
