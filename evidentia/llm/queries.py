@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import best_fit_packing, byte_bpe, near_dedup, ngram_trie, payload_chunks, quality_rules, repeat_removal, token_counts
+from evidentia.llm import best_fit_packing, byte_bpe, line_dedup, near_dedup, ngram_trie, payload_chunks, quality_rules, repeat_removal, secret_scan, token_counts
 from evidentia.llm.tables import read
 from evidentia.llm.tokenizers_public import default_path
 
@@ -19,6 +19,10 @@ def op2_payload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_chunks.query(read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.query(read(spark, sf_dir, "documents"))
+
+
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_removal.query(read(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.query(read(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.query(read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.query(read(spark, sf_dir, "documents"))
 
@@ -44,6 +52,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_payload_chunks, op4_repeat_removal, op5_byte_bpe, op7_ngram_trie, op8_best_fit_packing, op9_near_dedup, op10_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_payload_chunks, op3_line_dedup, op4_repeat_removal, op5_byte_bpe, op6_secret_scan, op7_ngram_trie, op8_best_fit_packing, op9_near_dedup, op10_quality_rules)
 }
 ORACLES: dict[str, str] = {}
