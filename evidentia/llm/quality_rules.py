@@ -149,5 +149,21 @@ def measures(docs: DataFrame) -> DataFrame:
     return tables.texts(docs).mapInArrow(_measure, SCHEMA)
 
 
+def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows that the rules keep, all columns, with the cleaned text; a narrow pass over rows of any schema."""
+    spark = docs.sparkSession
+    tables.bound_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            only = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col)], ["doc_id", "text"])
+            for judged in _measure(iter([only])):
+                at = batch.schema.get_field_index(text_col)
+                out = batch.set_column(at, batch.schema.field(at), judged.column("clean_text").cast(batch.schema.field(at).type))
+                yield out.filter(judged.column("kept"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(docs: DataFrame) -> DataFrame:
     return measures(docs).withColumn("clean_sha256", F.sha2(F.col("clean_text").cast("binary"), 256)).drop("clean_text")
