@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.plans import finding_queries, summary_queries
+from evidentia.plans import code_queries, finding_queries, summary_queries
 
-_MODULES = (finding_queries, summary_queries)
+_MODULES = (finding_queries, summary_queries, code_queries)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
 
