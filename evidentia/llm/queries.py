@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.llm import best_fit_packing, byte_bpe, line_dedup, near_dedup, ngram_trie, payload_chunks, quality_rules, repeat_removal, secret_scan, token_counts
+from evidentia.llm.oracles import ORACLES
 from evidentia.llm.tables import read
 from evidentia.llm.tokenizers_public import default_path
 
@@ -54,4 +55,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_payload_chunks, op3_line_dedup, op4_repeat_removal, op5_byte_bpe, op6_secret_scan, op7_ngram_trie, op8_best_fit_packing, op9_near_dedup, op10_quality_rules)
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
