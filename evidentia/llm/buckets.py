@@ -20,7 +20,7 @@ from evidentia.llm import tables
 from evidentia.llm.components import components
 
 ROUNDS = (1, 4)
-BLOCK_ROWS, BLOCK_BYTES = 128, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
