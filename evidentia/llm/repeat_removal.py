@@ -157,7 +157,8 @@ def removals(keyed: DataFrame) -> DataFrame:
     roles = counted.join(loose, "head", "left").select("row_key", "at", "twice", (F.col("loose") & (~F.col("twice") | F.col("witness"))).alias("open"))
     sorted_out = roles.groupBy("row_key").agg(F.collect_set(F.when(F.col("twice"), F.col("at"))).alias("double"), F.collect_set(F.when(F.col("open"), F.col("at"))).alias("open"))
     settled = tables.written(held.drop("places").join(sorted_out, "row_key"), bytes_heavy=True)
-    strings = tables.written(settled.where(F.size("open") > 0).mapInArrow(_strings, "name binary, row_key long, start int"))
+    # named once for the counts and once for the join: that is cheaper than keeping them all
+    strings = settled.where(F.size("open") > 0).mapInArrow(_strings, "name binary, row_key long, start int")
     starts = _repeated(strings, "name").groupBy("row_key").agg(F.collect_set("start").alias("starts"))
     some = settled.where("size(double) > 0").select("row_key").union(starts.select("row_key")).distinct()
     lossy = settled.drop("open").join(some, "row_key", "left_semi").join(starts, "row_key", "left")

@@ -34,11 +34,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/evidentia-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a job when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, *, bytes_heavy: bool = False) -> DataFrame:
     """Cuts the lineage of df with a Parquet table in the shared folder: a lost executor costs a re-read,
-    not a recomputation."""
+    not a recomputation. Once it is written, its shuffle files go: nothing reads them again."""
     spark = df.sparkSession
     path = scratch(spark)
     writer = df.write.option("compression", "zstd") if bytes_heavy else df.write
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
