@@ -118,11 +118,12 @@ def _told(spans_col: str) -> F.Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by a mark; overlapping spans share one. A null text stays null."""
-    found = scan(docs, text_col)
+    found = scan(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")))
     folded = f"""aggregate(_spans, named_struct('out', '', 'at', 0), (acc, s) -> named_struct(
-        'out', if(s.start >= acc.at, concat(acc.out, substring({text_col}, acc.at + 1, s.start - acc.at), '{mark}'), acc.out),
-        'at', greatest(acc.at, s.end)), acc -> concat(acc.out, substring({text_col}, acc.at + 1)))"""
-    return found.withColumn(text_col, F.expr(f"if(size(_spans) > 0, {folded}, {text_col})")).drop("_base", "_spans")
+        'out', if(s.start >= acc.at, concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), '{mark}'), acc.out),
+        'at', greatest(acc.at, s.end)), acc -> concat(acc.out, substring(text, acc.at + 1)))"""
+    left = F.expr(f"if(size(_spans) > 0, {folded}, text)")
+    return found.select(*(left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
