@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, DataFrame functions only: character-shingle signatures, high-recall banding, exact Jaccard
 verification, then distributed union-find keeping one line per component.
 
-A line with a word has as its set the shingles of up to 9 characters that begin at a word's start, or anywhere from the
-9th character of a word on (so that text without spaces is covered too). Its signature is the bottom-12 MinHash sketch: the 12
+A line with a word has as its set the shingles of up to 9 characters that begin at a word's start, or anywhere in a word
+with 8 or more characters to come (so that long words, and text without spaces, are covered too). Its signature is the bottom-12 MinHash sketch: the 12
 least shingle hashes, in order. Bands are runs of 3 neighbours in the sketch, at most 10 a line; two lines are candidates if
 they share a band. At similarity 0.8 no run of 3 among the 12 least hashes of the union is common with probability 0.695**12, so recall is 0.987, and it is
 0.996 at 0.85, 0.9994 at 0.9. Candidates are linked if the exact Jaccard index of their sets is 0.8 or more; buckets are
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import tables
-from evidentia.llm.buckets import linked_components, shared_keys
+from evidentia.llm.buckets import linked_components
 
 PERCENT = 80
 SKETCH, BAND = 12, 3
 WITHOUT_ID = -(1 << 63)
-SHINGLES = r"regexp_extract_all(line, '(?s)(?:(?<!\\S)|(?<=\\S{8}))(?=(\\S.{0,8}))', 1)"
+#: Each match captures a shingle ahead, then moves on to the next word, or by one character while more than 8 of the word are left.
+SHINGLES = r"regexp_extract_all(line, '(?s)(?=(\\S.{0,8}))(?:\\S{1,8}(?!\\S)\\s*|\\S)', 1)"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -35,22 +36,24 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _set() -> F.Column:
-    return F.array_sort(F.array_distinct(F.transform(F.expr(SHINGLES), lambda x: F.xxhash64(x))))
+    return F.sort_array(F.array_distinct(F.transform(F.expr(SHINGLES), lambda x: F.xxhash64(x))))
 
 
 def _bands() -> F.Column:
     sketch = F.slice(F.col("set"), 1, SKETCH)
     runs = F.transform(F.sequence(F.lit(1), F.size(sketch) - (BAND - 1)), lambda i: F.xxhash64(F.slice(sketch, i, BAND)))
-    return F.when(F.size("set") >= BAND, runs).otherwise(F.array(F.xxhash64(sketch)))
+    return F.when(F.size("set") >= BAND, F.array_distinct(runs)).otherwise(F.array(F.xxhash64(sketch)))
 
 
 def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, removed array<int>): the places of lines that go. docs: (doc_id, text)."""
-    lines = _lines(docs)
-    banded = lines.select("doc_id", "pos", "lid", _set().alias("set")).select("doc_id", "pos", "lid", _bands().alias("bands"))
-    distinct = banded.groupBy("lid").agg(F.min(F.struct("doc_id", "pos")).alias("place"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    distinct = tables.written(distinct)
-    active = tables.written(shared_keys(distinct.select(F.explode("bands").alias("key"), F.col("lid").alias("rep")).distinct()))
+    # one row per line of every text, without a shuffle; equal lines meet below, as partial aggregates
+    banded = _lines(docs).select("doc_id", "pos", "lid", _set().alias("set")).select("doc_id", "pos", "lid", _bands().alias("bands"))
+    banded = tables.written(banded)
+    keyed = banded.select(F.explode("bands").alias("key"), F.col("lid").alias("rep"))
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
+    active = tables.written(tables.written(keyed.join(shared, "key", "left_semi")).distinct())
+    distinct = tables.written(banded.groupBy("lid").agg(F.min(F.struct("doc_id", "pos")).alias("place"), F.count("*").alias("n")))
     # the sets of candidate lines, from the document that holds each first
     wanted = distinct.join(active.select(F.col("rep").alias("lid")).distinct(), "lid", "left_semi").select("place.*", "lid")
     of_doc = wanted.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
@@ -79,28 +82,25 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rooted = distinct.select("lid", "place", "n").join(roots, "lid", "left").where("n > 1 or root is not null").select("lid", "place", F.coalesce("root", "lid").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     decided = rooted.join(keepers, "root").select("lid", "keeper")
-    gone = lines.select("lid", "doc_id", "pos").join(decided, "lid").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("pos") != F.col("keeper.pos")))
+    gone = banded.select("lid", "doc_id", "pos").join(decided, "lid").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("pos") != F.col("keeper.pos")))
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """docs with the text less its removed lines, and new columns _n_lines (with a word) and _n_removed, all other columns kept."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    removed = tables.written(removed_places(source, percent)).select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(WITHOUT_ID))
-    joined = docs.withColumn("_doc", key).join(removed, "_doc", "left").drop("_doc")
-    all_lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    joined = joined.withColumn("_lines", all_lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    text = F.when(F.col("_removed").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_lines")[i]), "\n"))
-    return (
-        joined.withColumn("_n_lines", F.size(F.filter("_lines", lambda x: x.rlike(r"\S"))).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long"))
-        .withColumn(text_col, text)
-        .drop("_lines", "_removed")
-    )
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counts: bool = False) -> DataFrame:
+    """docs with the text less its removed lines, all other columns kept; with counts, also n_lines (with a word) and n_removed."""
+    text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(WITHOUT_ID))
+    removed = tables.written(removed_places(docs.select(key.alias("doc_id"), text.alias("text")), percent))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc_id"))
+    body = F.coalesce(F.col("row")[text_col], F.lit(""))
+    joined = rows.join(removed, "doc_id", "left").withColumn("lines", F.split(body, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    left = F.when(F.col("removed").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
+    out = [left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    if counts:
+        out += [F.size(F.filter("lines", lambda x: x.rlike(r"\S"))).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")]
+    return joined.select(*out)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = dedup(docs.select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
