@@ -83,4 +83,5 @@ def quantile(table: DataFrame, q: float) -> DataFrame:
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:
-    return answers(histogram(lengths(docs, vocabulary)))
+    # written, as blocks and lengths both read it: texts are encoded once
+    return answers(tables.written(histogram(lengths(docs, vocabulary))))
