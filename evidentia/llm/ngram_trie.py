@@ -45,7 +45,7 @@ END = U64(0x5EED5EED5EED5EED)
 MU = 3.0
 HELD_OUT = 1
 #: Rows of level 1 in a range, and bigram occurrences in a shard, about.
-RANGE_ROWS, SHARD_TOKENS = 2_000_000, 24_000_000
+RANGE_ROWS, SHARD_TOKENS = 2_000_000, 6_000_000
 LEVELS = 65535
 
 
@@ -334,7 +334,7 @@ def merge_runs(frames: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
             keys.append(key)
             counts.append(count)
             pending += n
-            if pending > max(4_000_000, size):
+            if pending > max(1_000_000, size):
                 key, count = _summed(keys, counts)
                 keys, counts, pending, size = [key], [count], 0, len(key)
     return _summed(keys, counts)
@@ -355,7 +355,7 @@ def train(training: DataFrame) -> dict:
     shards = int(max(1, size // (SHARD_TOKENS * 2)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=8 << 20):
             names, count = _slice_counts(tokens_of(batch)[0])
             yield _rows_out([(k, len(a), _blob(a, c)) for k, (a, c) in _split_rows(range_of(names, ranges), names, count)])
 
@@ -374,7 +374,7 @@ def train(training: DataFrame) -> dict:
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(uri, ranges, bases)
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=8 << 20):
             names, row = tokens_of(batch)
             distinct, inverse = np.unique(names, return_inverse=True)
             number, _ = vocabulary.find(distinct)
@@ -422,7 +422,7 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model["uri"], model["ranges"], model["bases"])
         has, known_shards = set(model["has"]), {}
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=8 << 20):
             names, row = tokens_of(batch)
             distinct, inverse = np.unique(names, return_inverse=True)
             number, count = vocabulary.find(distinct)
