@@ -159,7 +159,7 @@ def removals(keyed: DataFrame) -> DataFrame:
     settled = tables.written(held.drop("places").join(sorted_out, "row_key"), bytes_heavy=True)
     # named once for the counts and once for the join: that is cheaper than keeping them all
     strings = settled.where(F.size("open") > 0).mapInArrow(_strings, "name binary, row_key long, start int")
-    starts = _repeated(strings, "name").groupBy("row_key").agg(F.collect_set("start").alias("starts"))
+    starts = tables.written(_repeated(strings, "name").groupBy("row_key").agg(F.collect_set("start").alias("starts")))
     some = settled.where("size(double) > 0").select("row_key").union(starts.select("row_key")).distinct()
     lossy = settled.drop("open").join(some, "row_key", "left_semi").join(starts, "row_key", "left")
     return lossy.mapInArrow(_remove, "row_key long, n_removed long, n_spans long, kept_bytes binary")
