@@ -81,7 +81,7 @@ def test_pack(spark, stages):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, "en", None), (None, "", "en", 0), (2, "word " * 30, None, 9), (3, "Plain words here make one good line number one. " * 3 + "It has many more of them after the first few words of it.", "x", 5)]
+    rows = [(1, None, "en", None), (None, "", "en", 0), (2, "word " * 30, None, 9), (3, "Plain words here make one good line number one. It has many more of them after the first few, so that no rule finds fault with it.", "x", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
