@@ -7,12 +7,17 @@ two into each of 7 chunks). So the allowed chunk errors are enumerated as masks:
 and an equi-join on the keys meets every pair within that distance. At similarity 0.85 a chunk has at most one error with
 probability 0.77, so a pair is missed with probability 0.23**7, about 3 in 100000, and less above it.
 
-Texts with the same set form a class first; only class representatives (least doc_id) are joined. Pairs of a bucket are not all
+Texts with the same set form a class first; only class representatives (the first row) are joined. Pairs of a bucket are not all
 emitted: leaders meet members and components are contracted, then what is left is compared exactly in blocks (`buckets`). Links are
 confirmed on the full shingle sets.
 
-Null and empty texts have an empty set and no links. Repeated rows (same id) get the same result each; an empty table gives
-an empty result; other columns are ignored.
+A row is named by a hash of its id and text, so different texts may share an id: each has its own result. Rows are ordered by id, a missing
+id last, then by name, then, without an id, by their place in the table. The first row of a component is kept, and its id is the component's: the least
+doc_id, or null where no row has one. Rows with the same id and text get the same result each; rows without an id are documents of
+their own, so that of equal ones at most one is kept.
+
+Null and empty texts have an empty set and no links: all are kept, with or without an id. An empty table gives an empty result;
+other columns are ignored by `near_duplicates` and kept by `dedup`.
 """
 
 from __future__ import annotations
@@ -74,8 +79,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, i in enumerate(some):
             raw[i] = signature[k].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in set_hash), pa.array(raw, pa.binary())],
-            ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+            [*batch.select(["doc_id", "name", "place"]).columns, pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in set_hash), pa.array(raw, pa.binary())],
+            ["doc_id", "name", "place", "n_shingles", "set_a", "set_b", "signature"],
         )
 
 
@@ -155,41 +160,72 @@ def _confirm_blocks(percent: int):
     return run
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, name): equal names for rows with the same id and text."""
+    return tables.texts(docs).withColumn("name", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+
+
 def classes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set_a, set_b) of every text, and (set_a, set_b, rep, signature) of every distinct set."""
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
-    signed = tables.written(tables.texts(docs).mapInArrow(_signatures, schema))
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    return signed.drop("signature"), tables.written(classes)
+    """(doc_id, name, place, n_shingles, set_a, set_b) of every text, and (set_a, set_b, first, rep, signature) of every distinct set: its first row and that row's name."""
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)).alias("place")
+    schema = "doc_id long, name long, place long, n_shingles long, set_a long, set_b long, signature binary"
+    signed = tables.written(named(docs).select("doc_id", "text", "name", place).mapInArrow(_signatures, schema))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "name", "place")
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(order).alias("first"), F.first("signature").alias("signature"))
+    return signed.drop("signature"), tables.written(classes.withColumn("rep", F.col("first.name")))
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
     """(node, root): components of representatives that have a link."""
     reps = classes.select("rep", "signature")
     active = tables.written(shared_keys(reps.mapInArrow(_keys, "key long, rep long")))
-    ids = active.select(F.col("rep").alias("doc_id")).distinct()
-    held = tables.written(tables.texts(docs).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), bytes_heavy=True)
+    names = active.select(F.col("rep").alias("name")).distinct()
+    held = tables.written(named(docs).join(names, "name", "left_semi").groupBy("name").agg(F.first("text").alias("text")), bytes_heavy=True)
 
     def judge(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(reps.select(F.col("rep").alias(side), F.col("signature").alias(f"sig_{side}")), side)
         near = pairs.mapInArrow(_close, "a long, b long")
         for side in ("b", "a"):
-            near = near.join(held.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side)
+            near = near.join(held.select(F.col("name").alias(side), F.col("text").alias(f"text_{side}")), side)
         return near.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
 
     def judge_blocks(blocks: DataFrame) -> DataFrame:
         return blocks.select("members").mapInArrow(_confirm_blocks(percent), "a long, b long")
 
-    payload = held.select(F.col("doc_id").alias("rep"), F.octet_length("text").alias("size"), F.col("text").alias("payload"))
+    payload = held.select(F.col("name").alias("rep"), F.octet_length("text").alias("size"), F.col("text").alias("payload"))
     return linked_components(active, judge, judge_blocks, payload)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, name, n_shingles, component_id, kept), one row per document."""
     signed, classes = classes_of(docs)
     roots = links(docs, classes, percent)
-    of_class = classes.join(roots, classes.rep == roots.node, "left").select("set_a", "set_b", F.coalesce("root", "rep").alias("component"))
+    firsts = roots.join(classes.select(F.col("rep").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("least"))
+    linked = roots.join(firsts, "root").select(F.col("node").alias("rep"), "least")
+    of_class = classes.join(linked, "rep", "left").select("set_a", "set_b", F.coalesce("least", "first").alias("least"))
     out = signed.join(of_class, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    some = F.col("n_shingles") > 0
+    component = F.when(some, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    kept = F.when(some, (F.col("name") == F.col("least.name")) & (F.col("place") == F.col("least.place"))).otherwise(F.lit(True)).alias("kept")
+    return out.select("doc_id", "name", "n_shingles", component, kept)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept."""
+    return _decided(docs, percent).drop("name")
+
+
+def dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The kept rows of docs, with all columns."""
+    kept = tables.written(_decided(docs, percent).where("kept").select("name", (F.col("n_shingles") > 0).alias("some")).distinct())
+    no_id = F.col("doc_id").cast("long").isNull()
+
+    def stay(which: F.Column, how: str) -> DataFrame:
+        name = F.xxhash64(no_id, F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+        return docs.where(which).select(F.struct(*docs.columns).alias("row"), name.alias("name")).join(kept, "name", how)
+
+    # equal texts without an id have one name, and one of them stays
+    without = stay(no_id, "inner")
+    one = without.where("some").groupBy("name").agg(F.first("row").alias("row"))
+    return stay(~no_id, "left_semi").select("row.*").union(one.select("row.*")).union(without.where("not some").select("row.*"))

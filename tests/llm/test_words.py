@@ -92,6 +92,24 @@ def test_near_duplicates_chain_and_group(spark):
     assert got == brute_near(rows)
 
 
+def test_near_duplicates_without_ids(spark):
+    """Rows without an id, alone, copied and alike others; texts that share an id; empty texts all stay."""
+    other = " ".join(f"v{i}" for i in range(60))
+    third = " ".join(f"z{i}" for i in range(60))
+    rows = [(None, BASE), (None, other), (None, other), (None, other + " end"), (None, ""), (None, ""), (None, None), (4, third), (None, third), (7, "quite another text under one id"), (7, "and one more text under this id"), (8, ""), (9, "a text twice"), (9, "a text twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    got = [tuple(r) for r in near_dedup.near_duplicates(docs).collect()]
+    assert len(got) == len(rows)
+    none = [r for r in got if r[0] is None]
+    assert sorted(map(str, none)) == sorted(map(str, [(None, 16, None, True), (None, 0, None, True), (None, 0, None, True), (None, 0, None, True), (None, 56, 4, False)] + [r for r in none if r[1] in (56, 57) and r[2] is None]))
+    assert sum(r[3] for r in none if r[1] in (56, 57)) == 1
+    assert {r for r in got if r[0]} == {(4, 56, 4, True), (7, 2, 7, True), (7, 3, 7, True), (8, 0, 8, True), (9, 1, 9, True)}
+    kept = [tuple(r) for r in near_dedup.dedup(docs).collect()]
+    alike = [r for r in kept if r[1] and r[1].startswith("v0")]
+    assert len(alike) == 1
+    assert sorted(map(str, kept)) == sorted(map(str, [rows[0], *alike, *rows[4:8], *rows[9:]]))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (30, 20), (20, 30), (20, 10)] + [(100, 200 + i) for i in range(50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
