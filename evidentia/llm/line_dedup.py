@@ -7,10 +7,11 @@ least shingle hashes, in order. Bands are runs of 3 neighbours in the sketch, at
 they share a band. At similarity 0.8 no run of 3 among the 12 least hashes of the union is common with probability 0.695**12, so recall is 0.987, and it is
 0.996 at 0.85, 0.9994 at 0.9. Candidates are linked if the exact Jaccard index of their sets is 0.8 or more; buckets are
 worked off by leaders (`buckets`), components by contraction. Of a component, equal lines included, the first line in (doc_id,
-place) order stays; the others are removed from their texts.
+row, place) order stays; the others are removed from their texts.
 
 Lines are named by a 64-bit hash. Blank lines are layout: they stay and are never compared. Null and empty texts stay as
-empty texts. Rows that repeat a doc_id share their decisions by place. A null doc_id comes before all others. An empty
+empty texts. A row is named by a hash of its id and text: rows equal in both share their decisions by place, and different texts
+with one id, or without one, are decided on each by itself. A null doc_id comes before all others. An empty
 table gives an empty result. Other columns, whatever their names, are kept by `dedup`.
 """
 
@@ -30,8 +31,8 @@ SHINGLES = r"regexp_extract_all(line, '(?s)(?=(\\S.{0,8}))(?:\\S{1,8}(?!\\S)\\s*
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, lid) of lines with a word."""
-    split = docs.select(F.coalesce("doc_id", F.lit(WITHOUT_ID)).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """(doc_id, name, pos, line, lid) of lines with a word."""
+    split = docs.select("doc_id", "name", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return split.where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
 
 
@@ -46,18 +47,18 @@ def _bands() -> F.Column:
 
 
 def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, removed array<int>): the places of lines that go. docs: (doc_id, text)."""
+    """(name, removed array<int>): the places of lines that go. docs: (doc_id, name, text), with equal names for rows equal in the others."""
     # one row per line of every text, without a shuffle; equal lines meet below, as partial aggregates
-    banded = _lines(docs).select("doc_id", "pos", "lid", _set().alias("set")).select("doc_id", "pos", "lid", _bands().alias("bands"))
+    banded = _lines(docs).select("doc_id", "name", "pos", "lid", _set().alias("set")).select("doc_id", "name", "pos", "lid", _bands().alias("bands"))
     banded = tables.written(banded)
     keyed = banded.select(F.explode("bands").alias("key"), F.col("lid").alias("rep"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
     active = tables.written(tables.written(keyed.join(shared, "key", "left_semi")).distinct())
-    distinct = tables.written(banded.groupBy("lid").agg(F.min(F.struct("doc_id", "pos")).alias("place"), F.count("*").alias("n")))
-    # the sets of candidate lines, from the document that holds each first
+    distinct = tables.written(banded.groupBy("lid").agg(F.min(F.struct("doc_id", "name", "pos")).alias("place"), F.count("*").alias("n")))
+    # the sets of candidate lines, from the row that holds each first
     wanted = distinct.join(active.select(F.col("rep").alias("lid")).distinct(), "lid", "left_semi").select("place.*", "lid")
-    of_doc = wanted.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(WITHOUT_ID)).alias("doc_id"), "text").join(of_doc, "doc_id")
+    of_row = wanted.groupBy("name").agg(F.collect_list("pos").alias("places"))
+    texts = docs.select("name", "text").join(of_row, "name")
     held = texts.select(F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
     sets = tables.written(held.select(F.xxhash64("line").alias("rep"), "line").dropDuplicates(["rep"]).select("rep", _set().alias("set")))
 
@@ -82,17 +83,18 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rooted = distinct.select("lid", "place", "n").join(roots, "lid", "left").where("n > 1 or root is not null").select("lid", "place", F.coalesce("root", "lid").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     decided = rooted.join(keepers, "root").select("lid", "keeper")
-    gone = banded.select("lid", "doc_id", "pos").join(decided, "lid").where((F.col("doc_id") != F.col("keeper.doc_id")) | (F.col("pos") != F.col("keeper.pos")))
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("removed"))
+    gone = banded.select("lid", "name", "pos").join(decided, "lid").where((F.col("name") != F.col("keeper.name")) | (F.col("pos") != F.col("keeper.pos")))
+    return gone.groupBy("name").agg(F.collect_set("pos").alias("removed"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, counts: bool = False) -> DataFrame:
     """docs with the text less its removed lines, all other columns kept; with counts, also n_lines (with a word) and n_removed."""
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("long"), F.lit(WITHOUT_ID))
-    removed = tables.written(removed_places(docs.select(key.alias("doc_id"), text.alias("text")), percent))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc_id"))
+    name = F.xxhash64(key, text)
+    removed = tables.written(removed_places(docs.select(key.alias("doc_id"), name.alias("name"), text.alias("text")), percent))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"))
     body = F.coalesce(F.col("row")[text_col], F.lit(""))
-    joined = rows.join(removed, "doc_id", "left").withColumn("lines", F.split(body, "\n", -1))
+    joined = rows.join(removed, "name", "left").withColumn("lines", F.split(body, "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     left = F.when(F.col("removed").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
     out = [left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]

@@ -135,6 +135,15 @@ def test_lines(spark, table):
     assert sorted(map(str, ((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()))) == sorted(map(str, brute_lines(rows)))
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """A duplicate at place 1 of one text leaves place 1 of the others, whether they share an id or have none."""
+    again = "the same line of several words stands in many of these texts"
+    rows = [(i, text) for i in (None, 5) for text in (f"first thing said {i} alpha\n{again}", f"wholly different opening {i} words\n{again}", f"nothing like it here {i} zebra\nunique second line number {i} with its own content")]
+    got = [(r.doc_id, r.text) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    lines = [x for _, t in got for x in t.split("\n")]
+    assert sorted(lines) == sorted({x for _, t in rows for x in t.split("\n")})
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secret_scan.query(none).count() == 0
