@@ -135,6 +135,14 @@ def test_lines(spark, table):
     assert sorted(map(str, ((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()))) == sorted(map(str, brute_lines(rows)))
 
 
+def test_short_lines_with_one_word_more(spark):
+    """Sets of 4 and 5 shingles with 4 in common, at similarity 0.8."""
+    words = [hashlib.sha256(str(i).encode()).hexdigest()[:8] for i in range(1000)]
+    rows = [(i, " ".join(words[5 * i + 1 : 5 * i + 5]) + "\n" + " ".join(words[5 * i : 5 * i + 5])) for i in range(200)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(i, t.split("\n")[0]) for i, t in rows]
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     """A duplicate at place 1 of one text leaves place 1 of the others, whether they share an id or have none."""
     again = "the same line of several words stands in many of these texts"
