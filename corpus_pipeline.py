@@ -51,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing.query(docs, default_path("byte_bpe_50k.tiktoken"))
+    return best_fit_packing.query(docs, default_path("byte_bpe_50k.tiktoken"), default_path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [

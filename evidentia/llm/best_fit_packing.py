@@ -1,7 +1,7 @@
 """Vector best-fit packing: residual token, document-count and attention-cost capacities select bins by weighted dot product or
 residual norm under every constraint.
 
-A document's ids (public byte-level vocabulary, no special tokens) end with id 2. Only documents longer than a sequence are
+A document's ids (public byte-level vocabulary, none added around the text) end with id 2. Only documents longer than a sequence are
 cut, into pieces of the full length; the first piece takes the remainder. Pieces are dealt by a hash into groups of about
 GROUP pieces, so every task holds a bounded number of lengths whatever the corpus size, and a hot source spreads over all
 groups; each group is packed in decreasing length. A group's last open sequence is its only systematic loss, about one in
@@ -10,8 +10,8 @@ capacities that has the least weighted norm of what is left ("norm"), or the lar
 room ("dot"). Sequences with the same token room form a level; the one with most document room, then most attention room, stands for it.
 
 The default document and attention capacities (the sequence length, its square) can't bind, so that as few sequences as
-possible are used; smaller ones may be given. Ids come from the merge ranks by `encode_ordinary`, which agrees with the JSON
-form of the vocabulary (tested).
+possible are used; smaller ones may be given. Ids come from the merge ranks; texts are split at the added tokens
+of the JSON form first, if it is given, so that the ids are those of `tokenizers` with that form (tested). Without it, added tokens are plain text.
 
 Null and empty texts are the single id 2. Repeated rows are packed each; an empty table gives an empty result.
 """
@@ -35,13 +35,13 @@ LENGTH, END, GROUP = 1024, 2, 16384
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, most: int = LENGTH, text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, most: int = LENGTH, text_col: str = "text", json_form: str | None = None) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizers_public.encoder(vocabulary)
+        encoder = tokenizers_public.encoder(vocabulary, json_form)
         for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encoder.encode_ordinary(text or ""), END], "<u4")
+                ids = np.array([*encoder.encode(text or "", allowed_special="all"), END], "<u4")
                 bounds = [0, *range(len(ids) % most or most, len(ids) + 1, most)] if len(ids) > most else [0, len(ids)]
                 out += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -108,5 +108,5 @@ def pack(parts: DataFrame, most: int = LENGTH, most_docs: int | None = None, mos
     return dealt.groupBy("dealt").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def query(docs: DataFrame, vocabulary: str) -> DataFrame:
-    return pack(pieces(docs, vocabulary))
+def query(docs: DataFrame, vocabulary: str, json_form: str | None = None) -> DataFrame:
+    return pack(pieces(docs, vocabulary, json_form=json_form))

@@ -41,7 +41,7 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing.query(read(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"))
+    return best_fit_packing.query(read(spark, sf_dir, "documents"), default_path("byte_bpe_50k.tiktoken"), default_path("byte_bpe_50k.json"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 
 import tiktoken
 
@@ -24,5 +25,16 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(4)
-def encoder(path: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a JSON form; only those that match as they stand are known here."""
+    with open(path, encoding="utf-8") as form:
+        tokens = json.load(form)["added_tokens"]
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens with rules of their own: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+@functools.lru_cache(4)
+def encoder(path: str, json_form: str | None = None) -> tiktoken.Encoding:
+    """The rank form at path; with a JSON form, texts are split at its added tokens by `encode(text, allowed_special="all")`."""
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks(path), special_tokens=added_tokens(json_form) if json_form else {})

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from evidentia.llm import best_fit_packing, byte_bpe
+from evidentia.llm import best_fit_packing, byte_bpe, queries
 from evidentia.llm.tokenizers_public import default_path, encoder
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,6 +53,21 @@ def test_packing(docs):
     assert (out.doc_id == 3).sum() == 2
 
 
+def test_added_tokens(spark, tmp_path):
+    """The registered query gives the ids of the JSON form as it is loaded."""
+    json_form = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\n<|endoftext| >", "<|endoftext|>" * 1500]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op8_best_fit_packing(spark, str(tmp_path)).toPandas()
+    for i, text in enumerate(texts):
+        ids = [*json_form.encode(text or "", add_special_tokens=False).ids, 2]
+        own = out[out.doc_id == i].sort_values("piece")
+        assert own.length.sum() == len(ids)
+        for p in own.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    assert json_form.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_capacities(spark, rule):
     rng = np.random.default_rng(1)
