@@ -25,15 +25,19 @@ from evidentia.llm.buckets import linked_components
 
 PERCENT = 80
 SKETCH, BAND = 12, 3
+#: Lines that a join compares with each other in one go.
+BLOCK_ROWS = 4096
 WITHOUT_ID = -(1 << 63)
 #: Each match captures a shingle ahead, then moves on to the next word, or by one character while more than 8 of the word are left.
-SHINGLES = r"regexp_extract_all(line, '(?s)(?=(\\S.{0,8}))(?:\\S{1,8}(?!\\S)\\s*|\\S)', 1)"
+SHINGLES = r"regexp_extract_all(line, '(?s)(?=(\\S.{0,8}+))(?:\\S{1,8}+(?!\\S)\\s*+|\\S)', 1)"
+#: What lines without a word consist of.
+SPACES = " \t\n\v\f\r"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, name, pos, line, lid) of lines with a word."""
     split = docs.select("doc_id", "name", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return split.where(F.col("line").rlike(r"\S")).withColumn("lid", F.xxhash64("line"))
+    return split.where(F.btrim("line", F.lit(SPACES)) != "").withColumn("lid", F.xxhash64("line"))
 
 
 def _set() -> F.Column:
@@ -41,12 +45,14 @@ def _set() -> F.Column:
 
 
 def _bands() -> F.Column:
-    sketch = F.slice(F.col("set"), 1, SKETCH)
-    runs = F.transform(F.sequence(F.lit(1), F.size(sketch) - (BAND - 1)), lambda i: F.xxhash64(F.slice(sketch, i, BAND)))
+    def runs(sketch: F.Column) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(sketch) - (BAND - 1), F.lit(1))), lambda i: F.xxhash64(*(F.try_element_at(sketch, i + k) for k in range(BAND))))
+
     # 4 common shingles of 5 share no run if the middle one is extra
     middle = F.when(F.size("set") == 4, F.xxhash64("set")).when(F.size("set") == 5, F.xxhash64(F.concat(F.slice("set", 1, 2), F.slice("set", 4, 2))))
-    banded = F.array_compact(F.concat(F.array_distinct(runs), F.array(middle)))
-    return F.when(F.size("set") >= BAND, banded).otherwise(F.array(F.xxhash64(sketch)))
+    # the sketch is an array's element, so that it is made once and not for every run
+    of_sketch = F.transform(F.array(F.slice("set", 1, SKETCH)), lambda sketch: F.array_distinct(runs(sketch)))[0]
+    return F.when(F.size("set").between(4, 5), F.array_append(of_sketch, middle)).otherwise(of_sketch)
 
 
 def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -56,12 +62,12 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     banded = tables.written(banded)
     keyed = banded.select(F.explode("bands").alias("key"), F.col("lid").alias("rep"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
-    active = tables.written(tables.written(keyed.join(shared, "key", "left_semi")).distinct())
+    active = tables.written(tables.written(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi")).distinct())
     distinct = tables.written(banded.groupBy("lid").agg(F.min(F.struct("doc_id", "name", "pos")).alias("place"), F.count("*").alias("n")))
     # the sets of candidate lines, from the row that holds each first
     wanted = distinct.join(active.select(F.col("rep").alias("lid")).distinct(), "lid", "left_semi").select("place.*", "lid")
     of_row = wanted.groupBy("name").agg(F.collect_list("pos").alias("places"))
-    texts = docs.select("name", "text").join(of_row, "name")
+    texts = docs.select("name", "text").join(of_row.hint("shuffle_hash"), "name")
     held = texts.select(F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
     sets = tables.written(held.select(F.xxhash64("line").alias("rep"), "line").dropDuplicates(["rep"]).select("rep", _set().alias("set")))
 
@@ -73,16 +79,22 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return both.select("a", "b", (100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).alias("linked"))
 
     def judge_blocks(blocks: DataFrame) -> DataFrame:
-        # (100 + percent) * common >= percent * (sizes), with a bound by the sizes first
-        like = f"""least(size(a.payload), size(b.payload)) * 100 >= {percent} * greatest(size(a.payload), size(b.payload))
-            and {100 + percent} * size(array_intersect(a.payload, b.payload)) >= {percent} * (size(a.payload) + size(b.payload))"""
-        of = "struct(least(a.root, b.root) as a, greatest(a.root, b.root) as b)"
-        met = "a.root <> b.root and (a.half = 0 and a.root < b.root or a.half = 1 and b.half = 2)"
-        linked = f"array_distinct(flatten(transform(members, a -> transform(filter(members, b -> {met} and {like}), b -> {of}))))"
-        return blocks.select(F.explode(F.expr(linked)).alias("e")).select("e.a", "e.b")
-
-    payload = sets.select("rep", (8 * F.size("set")).alias("size"), F.col("set").alias("payload"))
-    roots = linked_components(active, judge, judge_blocks, payload).select(F.col("node").alias("lid"), "root")
+        a, b, at = blocks.where("half <> 2").alias("a"), blocks.where("half <> 1").alias("b"), ["key", "i", "j"]
+        # (100 + percent) * common >= percent * (sizes), behind bounds of the difference by the sizes and by the parities; only linked pairs leave the join
+        linked = F.expr(f"""(a.half = 0 and b.half = 0 and a.root < b.root or a.half = 1 and b.half = 2 and a.root <> b.root)
+            and least(a.payload.n, b.payload.n) * 100 >= {percent} * greatest(a.payload.n, b.payload.n)
+            and {100 + percent} * bit_count(a.payload.parity ^ b.payload.parity) <= {100 - percent} * (a.payload.n + b.payload.n)
+            and {100 + percent} * size(array_intersect(a.payload.set, b.payload.set)) >= {percent} * (a.payload.n + b.payload.n)""")
+        met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in at] + [linked])
+        return met.select(F.least("a.root", "b.root").alias("a"), F.greatest("a.root", "b.root").alias("b"))
+
+    def tokens(reps: DataFrame) -> DataFrame:
+        return sets.join(reps, "rep", "left_semi").select("rep", F.explode("set").alias("token"))
+
+    # bit k: whether the set holds an odd number of elements that end in k; sets differ in as many elements as their parities do, at least
+    parity = F.expr("aggregate(set, 0L, (bits, h) -> bits ^ shiftleft(1L, cast(h & 63L as int)))")
+    payload = sets.select("rep", (8 * F.size("set")).alias("size"), F.struct("set", F.size("set").alias("n"), parity.alias("parity")).alias("payload"))
+    roots = linked_components(active, judge, judge_blocks, payload, tokens, percent, BLOCK_ROWS).select(F.col("node").alias("lid"), "root")
     rooted = distinct.select("lid", "place", "n").join(roots, "lid", "left").where("n > 1 or root is not null").select("lid", "place", F.coalesce("root", "lid").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     decided = rooted.join(keepers, "root").select("lid", "keeper")
@@ -97,7 +109,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     removed = tables.written(removed_places(docs.select(key.alias("doc_id"), name.alias("name"), text.alias("text")), percent))
     rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"))
     body = F.coalesce(F.col("row")[text_col], F.lit(""))
-    joined = rows.join(removed, "name", "left").withColumn("lines", F.split(body, "\n", -1))
+    joined = rows.join(removed.hint("shuffle_hash"), "name", "left").withColumn("lines", F.split(body, "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     left = F.when(F.col("removed").isNull(), body).otherwise(F.array_join(F.transform(kept, lambda i: F.col("lines")[i]), "\n"))
     out = [left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]

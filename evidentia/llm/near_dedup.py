@@ -8,7 +8,7 @@ and an equi-join on the keys meets every pair within that distance. At similarit
 probability 0.77, so a pair is missed with probability 0.23**7, about 3 in 100000, and less above it.
 
 Texts with the same set form a class first; only class representatives (the first row) are joined. Pairs of a bucket are not all
-emitted: leaders meet members and components are contracted, then what is left is compared exactly in blocks (`buckets`). Links are
+emitted: leaders meet members and components are contracted, then what is left gets the keys of an exact prefix filter (`buckets`). Links are
 confirmed on the full shingle sets.
 
 A row is named by a hash of its id and text, so different texts may share an id: each has its own result. Rows are ordered by id, a missing
@@ -38,6 +38,8 @@ CHUNKS, WIDTH = 7, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Pairs at a larger distance are not verified: at similarity 0.85 the distance is 6.3 +- 2.3.
 MOST_ERRORS = 20
+#: Of the texts of a block; a row compares two.
+BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
 
 _XOR = splitmix(np.arange(1, SYMBOLS + 1, dtype=U64))
 _MUL = splitmix(np.arange(1001, SYMBOLS + 1001, dtype=U64)) | U64(1)
@@ -126,6 +128,12 @@ def _confirm(percent: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        h, row = shingle_sets(*utf8(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(row)), pa.array(h.view(np.int64))], ["rep", "token"])
+
+
 def _confirm_blocks(percent: int):
     """Exact comparison of all members of a row, by products of 0/1 matrices over runs of shingles; yields the roots that it links."""
     run_of = 4096
@@ -191,10 +199,15 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = 85) -> DataFrame:
         return near.mapInArrow(_confirm(percent), "a long, b long, linked boolean")
 
     def judge_blocks(blocks: DataFrame) -> DataFrame:
-        return blocks.select("members").mapInArrow(_confirm_blocks(percent), "a long, b long")
+        members = blocks.groupBy("key", "i", "j").agg(F.collect_list(F.struct("rep", "root", "half", "payload")).alias("members"))
+        return members.select("members").mapInArrow(_confirm_blocks(percent), "a long, b long")
+
+    def tokens(reps: DataFrame) -> DataFrame:
+        texts = held.join(reps.select(F.col("rep").alias("name")), "name", "left_semi")
+        return texts.mapInArrow(_tokens, "rep long, token long")
 
     payload = held.select(F.col("name").alias("rep"), F.octet_length("text").alias("size"), F.col("text").alias("payload"))
-    return linked_components(active, judge, judge_blocks, payload)
+    return linked_components(active, judge, judge_blocks, payload, tokens, percent, BLOCK_ROWS, BLOCK_BYTES)
 
 
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
