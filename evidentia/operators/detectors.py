@@ -18,12 +18,19 @@ SECURITY = [
     ("weak_hash_md5", "medium", r"(?i)\b(md5|sha1)\s*\("),
     ("ssl_verify_disabled", "high", r"(?i)(verify\s*=\s*False|CERT_NONE|SSL_VERIFY_NONE)"),
     ("logging_sensitive", "medium", r"(?i)(log|print|console\.log|logger)\s*\(.*\b(password|secret|token|api[_-]?key)\b"),
+    ("sql_format_string", "high", r"""(?i)(execute|query|raw)\s*\(\s*(f"|f'|"[^"]*%|"[^"]*\{|`[^`]*\$\{)"""),
+    ("eval_usage", "high", r"\beval\s*\("),
+    ("shell_injection", "low", r"(?i)(subprocess|os\.system|os\.popen|exec|shell_exec)\s*\("),
+    ("pickle_load", "medium", r"\bpickle\.(load|loads)\s*\("),
+    ("yaml_unsafe_load", "medium", r"\byaml\.(load|unsafe_load)\s*\("),
 ]
 #: Fixed values of the same form.
 TS_SECURITY = [
     ("eval_usage", "high", r"\beval\s*\("),
     ("innerhtml", "high", r"\.innerHTML\s*="),
     ("dangerously_set_innerhtml", "high", r"dangerouslySetInnerHTML"),
+    ("hardcoded_secret", "medium", r"""(?i)(?:api[_-]?key|secret|token|password|auth)\s*[:=]\s*['"][^'"]{8,}['"]"""),
+    ("open_redirect", "medium", r"""window\.location\s*=\s*[^'";\n]*(?:req|params|query|input)"""),
     ("document_write", "high", r"document\.write\s*\("),
     ("new_function", "high", r"new\s+Function\s*\("),
 ]
@@ -37,9 +44,12 @@ TS_SMELLS = [
 ]
 CS_SECURITY = [
     ("sql_injection", "high", r"""(?i)new\s+SqlCommand\s*\(\s*(\$"|"[^"]*"\s*\+|string\.Format)"""),
+    ("sql_injection_exec", "high", r"""(?i)\.CommandText\s*=\s*(\$"|"[^"]*"\s*\+|string\.Format)"""),
     ("binary_formatter", "high", r"(?i)\b(BinaryFormatter|SoapFormatter)\b"),
     ("javascript_serializer", "medium", r"\bJavaScriptSerializer\b"),
     ("tls_bypass", "high", r"(?i)ServerCertificateValidationCallback\s*[+=]"),
+    ("insecure_rng", "medium", r"(?i)new\s+Random\(\).*(?:token|password|secret|key|salt|nonce|iv)"),
+    ("hardcoded_connstr", "medium", r"""(?i)(Password|Pwd)\s*=\s*[^;"]+"""),
 ]
 GO_PATTERNS = [("ignored_error", "medium", r"^\s*\w+(?:,\s*_)\s*[:=]=?\s*\w+"), ("discarded_error", "medium", r"^\s*_\s*=\s*\w+.*\("), ("goroutine", "low", r"^\s*go\s+func\s*\(")]
 #: Fixed values: (signal, weight in tenths, least count, pattern).

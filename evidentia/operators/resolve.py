@@ -8,22 +8,38 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-#: Fixed values: (language, extensions, depth, large-file lines, complexity threshold, marker files).
+#: Fixed values: (language, extensions, depth, large-file lines, complexity threshold, marker files; `*` stands for a name before an extension).
 LANGUAGES = [
     ("python", "py", "Full", 300, 20, "setup.py pyproject.toml requirements.txt Pipfile"),
-    ("typescript", "ts tsx", "Standard", 300, 20, "tsconfig.json"),
+    ("typescript", "ts tsx", "Standard", 300, 20, "tsconfig.json package.json"),
     ("javascript", "js jsx mjs", "Standard", 300, 20, "package.json"),
-    ("rust", "rs", "Standard", 400, 20, "Cargo.toml"),
-    ("go", "go", "Full", 400, 20, "go.mod"),
-    ("java", "java", "Standard", 400, 25, "pom.xml build.gradle"),
-    ("kotlin", "kt kts", "Shallow", 350, 20, "build.gradle.kts"),
-    ("ruby", "rb", "Standard", 300, 20, "Gemfile"),
-    ("php", "php", "Standard", 300, 20, "composer.json"),
-    ("csharp", "cs", "Standard", 400, 25, "global.json"),
-    ("dart", "dart", "Standard", 300, 20, "pubspec.yaml"),
-    ("gdscript", "gd", "Standard", 300, 20, "project.godot"),
-    ("cpp", "cpp cc cxx hpp h", "Standard", 500, 25, "CMakeLists.txt"),
+    ("rust", "rs", "Standard", 400, 20, "Cargo.toml Cargo.lock"),
+    ("go", "go", "Full", 400, 20, "go.mod go.sum"),
+    ("java", "java", "Standard", 400, 25, "pom.xml build.gradle build.gradle.kts"),
+    ("kotlin", "kt kts", "Shallow", 350, 20, "build.gradle.kts build.gradle settings.gradle.kts"),
+    ("ruby", "rb", "Standard", 300, 20, "Gemfile Rakefile .ruby-version"),
+    ("php", "php", "Standard", 300, 20, "composer.json composer.lock"),
+    ("swift", "swift", "Shallow", 400, 20, "Package.swift *.xcodeproj *.xcworkspace"),
+    ("scala", "scala", "Standard", 400, 20, "build.sbt project/build.properties"),
+    ("bash", "sh bash", "Shallow", 200, 15, ""),
+    ("lua", "lua", "Shallow", 300, 20, ".luarc.json .luacheckrc"),
+    ("perl", "pl pm", "Minimal", 300, 20, "Makefile.PL cpanfile"),
+    ("haskell", "hs", "Shallow", 300, 20, "stack.yaml cabal.project *.cabal"),
     ("elixir", "ex exs", "Shallow", 300, 20, "mix.exs"),
+    ("erlang", "erl hrl", "Minimal", 300, 20, "rebar.config rebar.lock"),
+    ("fsharp", "fs fsx", "Minimal", 300, 20, "*.fsproj"),
+    ("ocaml", "ml mli", "Minimal", 300, 20, "dune-project *.opam"),
+    ("nim", "nim", "Minimal", 300, 20, "*.nimble"),
+    ("zig", "zig", "Shallow", 400, 20, "build.zig"),
+    ("solidity", "sol", "Shallow", 400, 20, "foundry.toml hardhat.config.js hardhat.config.ts truffle-config.js"),
+    ("powershell", "ps1 psm1", "Minimal", 200, 15, ""),
+    ("r", "R r", "Minimal", 300, 20, "DESCRIPTION .Rproj"),
+    ("gdscript", "gd", "Standard", 300, 20, "project.godot"),
+    ("cpp", "cpp cc cxx hpp h", "Standard", 500, 25, "CMakeLists.txt Makefile meson.build"),
+    ("c", "c h", "Shallow", 500, 25, "CMakeLists.txt Makefile"),
+    ("clojure", "clj cljs cljc", "Minimal", 300, 20, "project.clj deps.edn"),
+    ("csharp", "cs", "Standard", 400, 25, "global.json *.csproj *.sln"),
+    ("dart", "dart", "Standard", 300, 20, "pubspec.yaml pubspec.lock"),
 ]
 
 
@@ -33,8 +49,9 @@ def languages(spark: SparkSession) -> DataFrame:
 
 
 def detected(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files (project, path): the first language, in order, of which a marker file lies at the project's root."""
-    top = files.where(~F.col("path").contains("/"))
+    """files (project, path): the first language, in order, of which a marker file lies at the place that its name says."""
+    names = F.array("path", F.concat(F.lit("*."), F.regexp_extract("path", r"^[^/]+\.([^./]+)$", 1)))
+    top = files.select("project", F.explode(names).alias("path"))
     known = languages(spark).select("priority", "language", F.explode("markers").alias("path"))
     return top.join(F.broadcast(known), "path").groupBy("project").agg(F.min_by("language", "priority").alias("language"))  # one row per marker
 

@@ -87,7 +87,7 @@ def imports(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("code_lines", """, i as (select path, line, regexp_extract(text, 'import (\\w+)$', 1) as name from code_lines where text like 'from %'),
-  w as (select path, line, unnest(regexp_extract_all(regexp_replace(text, '#.*$', ''), '\\w+')) as name from code_lines where not regexp_matches(text, '^\\s*(from|import)\\b')),
+  w as (select path, line, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '#.*$', ''), '\\w+'))) as name from code_lines where not regexp_matches(text, '^\\s*(from|import)\\b')),
   m as (select path, name, max(line) as last from w group by 1, 2) select path, i.line, name from i left join m using (path, name) where last is null or last < i.line""")
 def unused_imports(spark: SparkSession, d: str) -> DataFrame:
     return det.unused_imports(rel.code_lines(spark, d))
@@ -95,7 +95,7 @@ def unused_imports(spark: SparkSession, d: str) -> DataFrame:
 
 @query("code_lines", f""", f as (select path as file, line, regexp_extract(text, 'def (\\w+)', 1) as name from code_lines where regexp_matches(text, '^\\s*def \\w+\\(.*\\)\\s*:')),
   c as (select distinct unnest(regexp_extract_all(text, '\\b(\\w+)\\(', 1)) as name from code_lines where not {_COMMENT} and not regexp_matches(text, '^\\s*def '))
-  select name, file, line from f where name not in (select name from c)""")
+  select name, file, line from f anti join c using (name)""")
 def uncalled_functions(spark: SparkSession, d: str) -> DataFrame:
     return det.uncalled(rel.code_lines(spark, d))
 

@@ -93,9 +93,9 @@ def ignore_first(spark: SparkSession, d: str) -> DataFrame:
     return rel.findings_prev(spark, d).select("id", patterns.first_ignore(F.col("id"), F.col("file"), rules).alias("pattern"))
 
 
-@query("prev", "select id, tier, summary from prev where not suppressed and status = 'open' and detector = 'smells' and file like 'cust/1%' and tier = 2 and (summary ilike '%FINDING 1%' or file ilike '%finding 1%' or id ilike '%finding 1%')")
+@query("prev", "select id, tier, summary from prev where not suppressed and status = 'open' and detector = 'unused' and file like 'cust/1%' and tier = 2 and (summary ilike '%FINDING 1%' or file ilike '%finding 1%' or id ilike '%finding 1%')")
 def show_filter(spark: SparkSession, d: str) -> DataFrame:
-    return ops.show(rel.findings_prev(spark, d), detector="smells", prefix="cust/1", tier=2, needle="FINDING 1").select("id", "tier", "summary")
+    return ops.show(rel.findings_prev(spark, d), detector="unused", prefix="cust/1", tier=2, needle="FINDING 1").select("id", "tier", "summary")
 
 
 @query("prev", "select id, tier, reopen_count from prev where status = 'open' and tier <= 3 and not suppressed and reopen_count >= 2 and detector = 'coupling'")

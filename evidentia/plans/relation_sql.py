@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.sources.relations import DETECTORS, SMELLS, TEMPLATES, ZONES
+from evidentia.sources.relations import DETECTORS, SCRIPT_TEMPLATES, SMELLS, TEMPLATES, ZONES
 
 
 def _list(values: list[str]) -> str:
@@ -32,6 +32,11 @@ CODE_LINES = f"""code_lines as (
     replace({_list(TEMPLATES)}[((l_orderkey * 31 + l_linenumber * 7 + l_partkey) % {len(TEMPLATES)} + 1)::int], '{{k}}', (l_orderkey % 20)::varchar) as text
   from (select *, 'pkg' || (l_partkey % 7) || '/mod_' || l_partkey || '.' || ['py', 'ts', 'go', 'cs', 'dart', 'gd', 'tsx', 'py'][(l_partkey % 8 + 1)::int] as path from lineitem
     union all select *, 'big/sup_' || l_suppkey || '.py' from lineitem where l_suppkey % 10 = 0))"""
+SCRIPT_LINES = f"""script_lines as (
+  select path, row_number() over (partition by path order by l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::int as line,
+    replace(replace({_list(SCRIPT_TEMPLATES)}[((l_orderkey * 17 + l_linenumber * 5 + l_suppkey) % {len(SCRIPT_TEMPLATES)} + 1)::int], '{{k}}', (l_orderkey % 40)::varchar), '{{m}}', (l_orderkey % 40 % 5)::varchar) as text
+  from (select *, 'app' || (l_partkey % 5) || case when l_partkey % 11 = 0 then '/test' else '' end || case when l_partkey % 3 = 0 then '/_unit_' else '/unit_' end || l_partkey
+    || '.' || ['py', 'ts', 'gd', 'cs', 'dart', 'gd', 'tsx', 'py'][(l_partkey % 8 + 1)::int] as path from lineitem))"""
 EDGES = """edges as (
   with item as (select l_orderkey, l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as dst
     from lineitem where l_orderkey % 100 = 0)
@@ -47,7 +52,7 @@ LEDGER = f"""ledger as (select row_number() over w as seq, 'evt-' || event_id as
   sha256(props) as payload_hash, ts as at, event_type as kind, props as payload, event_id as number from events window w as (order by event_id))"""
 TAMPERED = "tampered as (select * exclude (number) replace (case when number % 1000 = 7 then payload || ' ' else payload end as payload) from ledger)"
 
-_NEEDS = {"all_findings": ALL_FINDINGS, "prev": PREV, "cur": CUR, "potentials": POTENTIALS, "files": FILES, "code_lines": CODE_LINES, "edges": EDGES, "history": HISTORY, "assessments": ASSESSMENTS, "review_findings": REVIEW_FINDINGS, "ledger": LEDGER, "tampered": TAMPERED}
+_NEEDS = {"all_findings": ALL_FINDINGS, "prev": PREV, "cur": CUR, "potentials": POTENTIALS, "files": FILES, "code_lines": CODE_LINES, "script_lines": SCRIPT_LINES, "edges": EDGES, "history": HISTORY, "assessments": ASSESSMENTS, "review_findings": REVIEW_FINDINGS, "ledger": LEDGER, "tampered": TAMPERED}
 
 
 def with_relations(names: str, query: str, recursive: bool = False) -> str:

@@ -107,11 +107,11 @@ def chronic_findings(spark: SparkSession, d: str) -> DataFrame:
 
 def _named_paths(spark: SparkSession, d: str) -> DataFrame:
     p = rel.table(spark, d, "part")
-    style = F.when(F.col("p_partkey") % 23 == 0, "my-part").when(F.col("p_partkey") % 29 == 0, "MyPart").otherwise("my_part")
-    return p.select(F.concat(F.lit("dir"), F.col("p_partkey") % 11, F.lit("/"), style, F.when(style == "my_part", "_x").otherwise(""), F.col("p_partkey") % 5, F.lit(".py")).alias("path"))
+    style = F.when(F.col("p_partkey") % 50 == 0, "my-part").when(F.col("p_partkey") % 67 == 0, "MyPart").otherwise("my_part")
+    return p.select(F.concat(F.lit("dir"), F.floor(F.col("p_partkey") / 150), F.lit("/"), style, F.when(style == "my_part", "_x").otherwise(""), F.col("p_partkey") % 5, F.lit(".py")).alias("path"))
 
 
-@query("", """named as (select 'dir' || (p_partkey % 11) as dir, case when p_partkey % 23 = 0 then 'kebab' when p_partkey % 29 = 0 then 'pascal' else 'snake' end as convention from part),
+@query("", """named as (select 'dir' || (p_partkey // 150) as dir, case when p_partkey % 50 = 0 then 'kebab' when p_partkey % 67 = 0 then 'pascal' else 'snake' end as convention from part),
   b as (select dir, convention, count(*) as n from named group by 1, 2), t as (select dir, sum(n)::bigint as total from b group by 1)
   select dir, convention, n, total from b join t using (dir) where total >= 5 and n >= 2 and n < 5 and n * 100 < total * 15""")
 def naming_minority(spark: SparkSession, d: str) -> DataFrame:
@@ -157,9 +157,9 @@ def review_integrity(spark: SparkSession, d: str) -> DataFrame:
     return review.near_target(_per_dimension(spark, d), 78.0)
 
 
-@query("assessments review_findings", f", {_BATCH} select dimension, score from s where score < 85 and dimension not in (select dimension from review_findings where confidence = 'low' and turn > 4)")
+@query("assessments review_findings", f", {_BATCH} select dimension, score from s where score < 85 and dimension not in (select dimension from review_findings where confidence = 'low' and turn > 4 and identifier < 'c3')")
 def review_feedback(spark: SparkSession, d: str) -> DataFrame:
-    return review.missing_feedback(_per_dimension(spark, d), rel.review_findings(spark, d).where("confidence = 'low' and turn > 4"))
+    return review.missing_feedback(_per_dimension(spark, d), rel.review_findings(spark, d).where("confidence = 'low' and turn > 4 and identifier < 'c3'"))
 
 
 @query("review_findings", """, f as (select * from review_findings qualify row_number() over (partition by identifier order by batch, turn) = 1),
@@ -226,10 +226,10 @@ def cluster_members(spark: SparkSession, d: str) -> DataFrame:
     return progress.live_members(summaries.cluster_keys(rel.findings_prev(spark, d)), rel.findings_cur(spark, d))
 
 
-@query("", "select o_orderkey as id from orders where o_orderkey % 2 = 0 and (o_orderdate::date)::varchar < '1995-01-01'")
+@query("", "select o_orderkey as id from orders where o_orderkey % 2 = 0 and (o_orderdate::date)::varchar < '1996-01-01'")
 def skips_resurfaced(spark: SparkSession, d: str) -> DataFrame:
     o = rel.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "temporary").otherwise("permanent").alias("kind"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("review_after"))
-    return progress.resurfaced(o, "1995-01-01").select("id")
+    return progress.resurfaced(o, "1996-01-01").select("id")
 
 
 @query("", "select o_orderkey as id from orders where o_orderkey % 7 = 0 or date '1998-01-01' - o_orderdate::date < 90")

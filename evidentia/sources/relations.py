@@ -3,7 +3,7 @@
 findings_prev, findings_cur   two scans of findings (orders)
 potentials                    checks per detector (orders)
 zones, files                  paths with their zone (documents)
-code_lines                    numbered source lines of synthetic files (lineitem)
+code_lines, script_lines      numbered source lines of synthetic files (lineitem)
 edges                         a dependency graph (lineitem)
 history                       one scan per day (events)
 assessments, review_findings  review results (labels with documents; conversations)
@@ -163,6 +163,60 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small.union(big).select("path", line.alias("line"), filled.alias("text"))
 
 
+#: Line templates of the script files.
+SCRIPT_TEMPLATES = [
+    "import { use{k}, Other as alias{k} } from 'lib'",
+    "import type { type Shape{k} } from 'shapes'",
+    "import Main{k} from 'main'",
+    "import React from 'react'",
+    "const v = use{k}(alias{k})",
+    "return Main{k}",
+    "// uses Shape{k}",
+    "  if (ready) {",
+    "  for (const x of xs) { useItem(x) }",
+    "  useState({k})",
+    "}",
+    "} else {",
+    "useEffect(() => { }, [])",
+    "} catch (e) { }",
+    "print('x{k}')",
+    "Future load{k}(BuildContext context) async {",
+    "  await fetch{k}();",
+    "  Navigator.of(context as BuildContext)",
+    'var s = load("res://a{k}.tscn")',
+    'const S{k} = preload("res://b.tscn")',
+    'x = load("res://c{k}.tscn")',
+    'get_node("A/B").go({k})',
+    "$Root/Branch/Leaf{k}.hide()",
+    "# print('x')",
+    "import _thread, app{m}._unit_{k} as u",
+    "from app{m}._unit_{k} import run, _hidden as h",
+    "from ._unit_{k} import __init__, value",
+    "from app{m} import _unit_{k}",
+    "window.location = req.query.next{k}",
+    "const secret = 'abcdefghij{k}'",
+    'cmd.CommandText = "select " + id{k}',
+    "var t = new Random().Next(); // token {k}",
+    'var conn = "Server=x;Password=p{k}"',
+    'db.execute(f"select {k}")',
+    "subprocess(cmd{k})",
+    "pickle.loads(data{k})",
+    "yaml.load(text{k})",
+]
+
+
+def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of parts in eight kinds, some in test folders, some private."""
+    item, order, part = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"], F.col("l_partkey")
+    folder = F.concat(F.lit("app"), part % 5, F.when(part % 11 == 0, "/test").otherwise(""), F.when(part % 3 == 0, "/_unit_").otherwise("/unit_"))
+    path = F.concat(folder, part, F.lit("."), pick(["py", "ts", "gd", "cs", "dart", "gd", "tsx", "py"], part % 8))
+    text = pick(SCRIPT_TEMPLATES, (F.col("l_orderkey") * 17 + F.col("l_linenumber") * 5 + F.col("l_suppkey")) % len(SCRIPT_TEMPLATES))
+    k = F.col("l_orderkey") % 40
+    filled = F.replace(F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{m}"), (k % 5).cast("string"))
+    placed = item.select(path.alias("path"), filled.alias("text"), *order)
+    return placed.select("path", F.row_number().over(Window.partitionBy("path").orderBy(*order)).alias("line"), "text")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse on purpose: its closure must stay small."""
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
