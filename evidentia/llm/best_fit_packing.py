@@ -2,7 +2,7 @@
 residual norm under every constraint.
 
 A document's ids (public byte-level vocabulary, none added around the text) end with id 2. Only documents longer than a sequence are
-cut, into pieces of the full length; the first piece takes the remainder. Pieces are dealt by a hash into groups of about
+cut, into pieces of the full length; the first piece takes the remainder. Pieces are dealt by a hash of row and place into groups of about
 GROUP pieces, so every task holds a bounded number of lengths whatever the corpus size, and a hot source spreads over all
 groups; each group is packed in decreasing length. A group's last open sequence is its only systematic loss, about one in
 several thousand. An item (length, 1, length**2) goes to the open sequence with room in all three
@@ -10,7 +10,8 @@ capacities that has the least weighted norm of what is left ("norm"), or the lar
 room ("dot"). Sequences with the same token room form a level; the one with most document room, then most attention room, stands for it.
 
 The default document and attention capacities (the sequence length, its square) can't bind, so that as few sequences as
-possible are used; smaller ones may be given. Ids come from the merge ranks; texts are split at the added tokens
+possible are used; smaller ones may be given. The weights are equal by default, so all three residuals choose the sequence; on 16,384 pieces of
+real lengths (11,534 sequences at least) that takes 11,541 sequences, as many as with the token weight alone. Ids come from the merge ranks; texts are split at the added tokens
 of the JSON form first, if it is given, so that the ids are those of `tokenizers` with that form (tested). Without it, added tokens are plain text.
 
 Null and empty texts are the single id 2. Repeated rows are packed each; an empty table gives an empty result.
@@ -90,7 +91,7 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], weights: tup
     return bins, offsets
 
 
-def pack(parts: DataFrame, most: int = LENGTH, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+def pack(parts: DataFrame, most: int = LENGTH, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
     """parts with sequence_id and offset. A piece that alone breaks a capacity is an error: it has no place."""
     capacities = (most, most_docs or most, most_cost or most * most)
     parts = tables.written(parts)
@@ -104,7 +105,8 @@ def pack(parts: DataFrame, most: int = LENGTH, most_docs: int | None = None, mos
         group["sequence_id"], group["offset"] = bins + (group["dealt"].to_numpy(np.int64) << 36), offsets
         return group.drop(columns="dealt")
 
-    dealt = parts.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the place in the written table parts copies of a row, which agree in all else
+    dealt = parts.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("dealt").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
 
 
