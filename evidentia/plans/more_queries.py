@@ -117,9 +117,9 @@ def routes_without_auth(spark: SparkSession, d: str) -> DataFrame:
     return own.where("routes > 0 and auth = 0").select("path", "routes")
 
 
-@query("prev", "select file, list_sort(list(distinct detector)) as detectors, case when bool_or(detector = 'security') then 'risk' when bool_or(detector = 'dupes') and bool_or(detector = 'structural') then 'bloat' when count(distinct detector) >= 4 then 'mixed' else 'plain' end as class from prev where status = 'open' and not suppressed and key % 9 = 0 group by 1")
+@query("prev", "select file, list_sort(list(distinct detector)) as detectors, case when bool_or(detector = 'security') then 'risk' when bool_or(detector = 'dupes') and bool_or(detector = 'structural') then 'bloat' when count(distinct detector) >= 4 then 'mixed' else 'plain' end as class from prev where status = 'open' and not suppressed group by 1")
 def concern_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of a file's set of detectors, by ordered rules."""
-    own = rel.findings_prev(spark, d).where("status = 'open' and not suppressed and key % 9 = 0").groupBy("file").agg(F.array_sort(F.collect_set("detector")).alias("detectors"))
+    own = rel.findings_prev(spark, d).where("status = 'open' and not suppressed").groupBy("file").agg(F.array_sort(F.collect_set("detector")).alias("detectors"))
     has = lambda x: F.array_contains("detectors", x)
     return own.withColumn("class", F.when(has("security"), "risk").when(has("dupes") & has("structural"), "bloat").when(F.size("detectors") >= 4, "mixed").otherwise("plain"))

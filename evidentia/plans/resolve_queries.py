@@ -106,11 +106,11 @@ def facades(spark: SparkSession, d: str) -> DataFrame:
     return resolve.facades(rel.code_lines(spark, d))
 
 
-@query("prev", """, o as (select * from prev where status = 'open' and not suppressed and key % 3 = 0), r as (select id, key as rank from o), m as (select id, unnest(['file::' || split_part(file, '/', 2), 'auto::' || detector || (key % 40)]) as cluster from o where key % 4 <> 0),
+@query("prev", """, o as (select * from prev where status = 'open' and not suppressed), r as (select id, key as rank from o), m as (select id, unnest(['file::' || split_part(file, '/', 2), 'auto::' || detector || (key % 40)]) as cluster from o where key % 4 <> 0),
   s as (select cluster, count(*) as n from m group by 1 having count(*) >= 2), f as (select id, min(cluster) as cluster from m join s using (cluster) group by 1), j as (select r.id, rank, f.cluster, s.n from r left join f on f.id = r.id left join s on s.cluster = f.cluster)
   select id, rank, cluster, n from j where cluster is null union all select arg_min(id, rank), min(rank), cluster, n from j where cluster is not null group by cluster, n""")
 def cluster_collapse(spark: SparkSession, d: str) -> DataFrame:
-    o = rel.findings_prev(spark, d).where("status = 'open' and not suppressed and key % 3 = 0")
+    o = rel.findings_prev(spark, d).where("status = 'open' and not suppressed")
     names = F.array(F.concat(F.lit("file::"), F.substring_index("file", "/", -1)), F.concat(F.lit("auto::"), "detector", F.col("key") % 40))
     return resolve.collapsed(o.select("id", F.col("key").alias("rank")), o.where("key % 4 <> 0").select("id", F.explode(names).alias("cluster")))
 

@@ -93,12 +93,12 @@ def unused_script_imports(spark: SparkSession, d: str) -> DataFrame:
     return rules.unused_script_imports(rel.script_lines(spark, d))
 
 
-@query(""", own as (select path, line, text, regexp_extract(path, '^(.*)/', 1) as dir from script_lines where path like '%.py'),
-  c as (select path, dir, line, regexp_extract(text, '(app\\d+)\\._unit', 1) as base, regexp_extract(text, '_unit_\\d+', 0) as name from own where text like 'import _thread%' or text like 'from app%'
-    union all select path, dir, line, dir, regexp_extract(text, '_unit_\\d+', 0) from own where text like 'from .\\_unit%' escape '\\'),
-  r as (select path, dir, line, name, case when base = '' then 'app' || (regexp_extract(name, '\\d+', 0)::int % 5) else base end || '/' || name || '.py' as resolved from c),
+@query(""", own as (select path, line, text, regexp_extract(path, '^(.*)/', 1) as dir, regexp_extract(text, '_unit_\\d+', 0) as unit, regexp_extract(text, '(app\\d+)', 1) as app from script_lines where path like '%.py'),
+  c as (select path, dir, line, unit as name, app || '/' || unit || '.py' as resolved from own where text like 'import _thread%' or text like 'from app%'
+    union all select path, dir, line, '_hidden', app || '/' || unit || '.py' from own where text like 'from app%\\_hidden%' escape '\\'
+    union all select path, dir, line, unit, dir || '/' || unit || '.py' from own where text like 'from .\\_unit%' escape '\\'),
   known as (select distinct path as resolved from script_lines)
-  select path, name as private_name, resolved, min(line) as line from r semi join known using (resolved) where dir <> regexp_extract(resolved, '^(.*)/', 1) group by 1, 2, 3""")
+  select path, name as private_name, resolved, min(line) as line from c semi join known using (resolved) where dir <> regexp_extract(resolved, '^(.*)/', 1) group by 1, 2, 3""")
 def private_imports(spark: SparkSession, d: str) -> DataFrame:
     lines = rel.script_lines(spark, d)
     return rules.private_imports(lines, lines.select("path").distinct())

@@ -31,9 +31,9 @@ def concerns(spark: SparkSession, d: str) -> DataFrame:
     return summaries.concerns(rel.findings_prev(spark, d))
 
 
-@query("prev", f", {_OPEN}, p as (select file, array_to_string(list_sort(list(distinct detector)), ',') as profile, count(distinct detector) as k from o where tier <= 2 and key % 4 = 0 group by 1) select profile, count(*) as files, min(file) as first from p where k >= 2 group by 1 having count(*) >= 3")
+@query("prev", f", {_OPEN}, p as (select file, array_to_string(list_sort(list(distinct detector)), ',') as profile, count(distinct detector) as k from o group by 1) select profile, count(*) as files, min(file) as first from p where k >= 2 group by 1 having count(*) >= 3")
 def concern_profiles(spark: SparkSession, d: str) -> DataFrame:
-    return summaries.shared_profiles(rel.findings_prev(spark, d).where("tier <= 2 and key % 4 = 0"))
+    return summaries.shared_profiles(rel.findings_prev(spark, d))
 
 
 @query("prev", f", {_OPEN} select smell_id as smell, count(distinct file) as files, count(*) as n from o where detector = 'smells' group by 1 having count(distinct file) >= 5")
