@@ -211,9 +211,9 @@ def coupling_metrics(spark: SparkSession, d: str) -> DataFrame:
     return graph.metrics(rel.edges(spark, d))
 
 
-@query("edges", f", {_METRICS} select *, floor(100 * fan_out / (fan_in + fan_out) + 0.5) / 100 as instability, case when fan_in + fan_out >= 5 then 'high' else 'medium' end as confidence from m where fan_in + fan_out >= 3")
+@query("edges", f", {_METRICS} select *, floor(100 * fan_out / (fan_in + fan_out) + 0.5) / 100 as instability, case when fan_in + fan_out >= 30 then 'high' else 'medium' end as confidence from m where fan_in + fan_out >= 15")
 def coupling_detector(spark: SparkSession, d: str) -> DataFrame:
-    return graph.coupled(rel.edges(spark, d), 3, 5)
+    return graph.coupled(rel.edges(spark, d))
 
 
 @query("edges", f", {_PATHS}, k as (select node from paths where path not like '%shared/mod_1%') select * from edges where src in (select node from k) and dst in (select node from k)")
@@ -242,10 +242,10 @@ def import_cycles(spark: SparkSession, d: str) -> DataFrame:
     return graph.strong_components(rel.edges(spark, d).where("not deferred"))
 
 
-@query("edges", """, u as (select src as a, dst as b from edges where deferred union select dst, src from edges where deferred), reach(a, b) as (select a, b from u union select reach.a, u.b from reach join u on reach.b = u.a)
-  select a as node, min(b) as cluster from reach group by 1""", recursive=True)
+@query("edges", """, u as (select src as a, dst as b from edges union select dst, src from edges), cc(node, cluster) using key (node) as (select distinct a, a from u union
+  (select u.a, min(x.cluster) from cc x join u on u.b = x.node join recurring.cc y on y.node = u.a where x.cluster < y.cluster group by u.a)) select node, cluster from cc""", recursive=True)
 def connected_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return graph.clusters(rel.edges(spark, d).where("deferred").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.clusters(rel.edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 _BODY = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '^(#|//|/\\*)')), chr(10))"

@@ -38,8 +38,7 @@ SCRIPT_LINES = f"""script_lines as (
   from (select *, 'app' || (l_partkey % 5) || case when l_partkey % 11 = 0 then '/test' else '' end || case when l_partkey % 3 = 0 then '/_unit_' else '/unit_' end || l_partkey
     || '.' || ['py', 'ts', 'gd', 'cs', 'dart', 'gd', 'tsx', 'py'][(l_partkey % 8 + 1)::int] as path from lineitem))"""
 EDGES = """edges as (
-  with item as (select l_orderkey, l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as dst
-    from lineitem where l_orderkey % 100 = 0)
+  with item as (select l_orderkey, l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_partkey) as dst from lineitem)
   select distinct src, dst, (src + dst) % 9 = 0 as deferred from (select src, dst from item union all select dst, src from item where l_orderkey % 500 = 0) where src <> dst)"""
 HISTORY = """history as (select row_number() over (order by day)::int as seq, day, round(1000 * (1 - errors / total)) / 10 as strict, total, errors
   from (select (ts::date)::varchar as day, count(*) as total, count(*) filter (event_type = 'error') as errors from events group by 1))"""
