@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
+from evidentia.operators.ordering import numbered
 
 LEVELS = (80, 90, 95, 100)
 
@@ -44,12 +45,8 @@ def next_target(history: DataFrame) -> DataFrame:
 
 
 def batches(paths: DataFrame, size: int) -> DataFrame:
-    """Paths in order, cut into groups of `size`: ranges are numbered on their own and carry the counts before them."""
-    spans = paths.select("path", F.substring("path", 1, 8).alias("span"))
-    counts = spans.groupBy("span").agg(F.count("*").alias("n"))
-    before = counts.select("span", F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("span").orderBy("path")) + F.col("before") - 1
-    return spans.join(before, "span").select("path", F.floor(place / size).alias("batch"))
+    """Paths in order, cut into groups of `size`."""
+    return numbered(paths.select("path"), "path").select("path", F.floor(F.col("place") / size).alias("batch"))
 
 
 def queue(findings: DataFrame, planned: DataFrame, skipped: DataFrame, n: int = 20) -> DataFrame:
@@ -82,9 +79,10 @@ def kept_superseded(rows: DataFrame, today: str, days: int = 90) -> DataFrame:
 
 
 def moved(plan: DataFrame, id_: str, place: int) -> DataFrame:
-    """One id taken out of a queue (pos, id) and put in at a place, at its end at most."""
+    """One id taken out of a queue (pos 0, 1, ... without gaps, id) and put in at a place, at its end at most. An id that is not there moves nothing; of a repeated id the last row moves."""
     bounds = plan.agg(F.count("*").alias("n"), F.max(F.when(F.col("id") == id_, F.col("pos"))).alias("cur"), F.lit(1).alias("_"))
     sized = plan.withColumn("_", F.lit(1)).join(F.broadcast(bounds), "_")
-    others = F.col("pos") - F.when(F.col("pos") > F.col("cur"), 1).otherwise(0)
-    at = F.when(F.col("id") == id_, F.least(F.lit(place), F.col("n") - 1) - 0.5).otherwise(others)
-    return sized.select("id", (F.row_number().over(Window.orderBy(at)) - 1).alias("pos"))
+    pos, cur, to = F.col("pos").cast("long"), F.col("cur"), F.least(F.lit(place), F.col("n") - 1)
+    left = pos - F.when(pos > cur, 1).otherwise(0)
+    others = left + F.when(cur.isNotNull() & (left >= to), 1).otherwise(0)
+    return sized.select("id", F.when(pos == cur, to).otherwise(others).alias("pos"))

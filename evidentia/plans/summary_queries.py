@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators import progress, review, summaries
+from evidentia.operators.ordering import numbered
 from evidentia.plans.relation_sql import with_relations
 from evidentia.sources import relations as rel
 
@@ -238,10 +239,11 @@ def superseded_ttl(spark: SparkSession, d: str) -> DataFrame:
     return progress.kept_superseded(o, "1998-01-01").select("id")
 
 
-@query("", "n as (select n_nationkey as id, case when n_nationkey = 4 then 9.5 when n_nationkey > 4 then n_nationkey - 1 else n_nationkey end as p from nation) select id::varchar as id, row_number() over (order by p) - 1 as pos from n")
+@query("", """n as (select o_orderkey as id, row_number() over (order by o_orderdate, o_orderkey) - 1 as p from orders), c as (select max(p) as cur from n where id = 1)
+  select id::varchar as id, row_number() over (order by case when p = cur then 999.5 when p > cur then p - 1 else p end) - 1 as pos from n, c""")
 def queue_move(spark: SparkSession, d: str) -> DataFrame:
-    n = rel.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_nationkey").alias("pos"))
-    return progress.moved(n, "4", 10)
+    o = numbered(rel.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderdate", "o_orderkey"), "o_orderdate", "o_orderkey", name="pos")
+    return progress.moved(o.select("id", "pos"), "1", 1000)
 
 
 ORACLES["queue_move"] = ORACLES["queue_move"].replace("with \n", "with ")

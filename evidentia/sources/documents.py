@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import patterns
 from evidentia.functions.text import extension, finding_id, relative, status_canonical
+from evidentia.operators.graph import written
+from evidentia.operators.ordering import numbered
 
 FINDING = "struct<id:string,detector:string,file:string,tier:int,confidence:string,summary:string,status:string,note:string,first_seen:string,last_seen:string,resolved_at:string,reopen_count:int,suppressed:boolean,zone:string,lang:string>"
 EVENT = "seq long, event_id string, schema int, prev_hash string, payload_hash string, at string, kind string, payload string"
@@ -64,14 +66,12 @@ def recovered(events: DataFrame) -> DataFrame:
 
 
 def appended(events: DataFrame, seq: int, tail_hash: str) -> DataFrame:
-    """New rows (number, kind, payload) as events that continue a chain after seq. The new rows of one append are few; they are numbered in order."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy("number")
-    hashed = events.withColumn("payload_hash", F.sha2("payload", 256))
-    return hashed.select(
-        (F.row_number().over(w) + seq).alias("seq"), F.concat(F.lit("evt-"), "number").alias("event_id"), F.lit(1).alias("schema"),
-        F.coalesce(F.lag("payload_hash").over(w), F.lit(tail_hash)).alias("prev_hash"), "payload_hash", "kind", "payload",
+    """New rows (number, kind, payload) as events that continue a chain after seq, in the order of their numbers; each finds its predecessor's hash by place."""
+    hashed = written(numbered(events.withColumn("payload_hash", F.sha2("payload", 256)), "number"))
+    before = hashed.select((F.col("place") + 1).alias("place"), F.col("payload_hash").alias("prev_hash"))
+    return hashed.join(before, "place", "left").select(
+        (F.col("place") + 1 + seq).alias("seq"), F.concat(F.lit("evt-"), "number").alias("event_id"), F.lit(1).alias("schema"),
+        F.when(F.col("place") == 0, tail_hash).otherwise(F.col("prev_hash")).alias("prev_hash"), "payload_hash", "kind", "payload",
     )
 
 

@@ -1,6 +1,7 @@
 """The ledger as a stream: contiguity and hash links checked with state per ledger, projections kept up to date.
 
-Rows may come out of order: those that lie ahead wait in state until the gap closes; a repeated or broken row is reported. There is no event
+Rows may come out of order: those that lie ahead wait in state until the gap closes, at most one ledger's rows, so cut ledgers by length; a repeated
+or broken row is reported. There is no event
 time in this model, so no watermark: a row is never late, only out of place.
 """
 

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import jsonpatch, patterns, text
-from evidentia.operators import detectors, findings, graph, ledger, progress, resolve, review, scores
+from evidentia.operators import detectors, findings, graph, ledger, ordering, progress, resolve, review, scores
+from evidentia.sources import documents
 
 
 def one(spark, column):
@@ -114,6 +115,49 @@ def test_queue_move(spark):
         assert [r.id for r in progress.moved(plan, id_, place).orderBy("pos").collect()] == want
 
 
+def test_queue_move_of_an_absent_id(spark):
+    plan = spark.createDataFrame([(k, str(k)) for k in range(4)], "pos int, id string")
+    assert [r.id for r in progress.moved(plan, "x", 1).orderBy("pos").collect()] == list("0123")
+
+
+def test_numbered(spark):
+    words = ["hot"] * 40 + [f"w{k:03d}" for k in range(60)]
+    rows = spark.createDataFrame([(w, k) for k, w in enumerate(reversed(words))], "word string, k long").repartition(7)
+    got = ordering.numbered(rows, "word", "k").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(100))
+    assert [(r.word, r.k) for r in got] == sorted((r.word, r.k) for r in got)
+    assert ordering.numbered(rows.limit(0), "word").count() == 0
+
+
+def test_appended_continues_the_chain(spark):
+    rows = spark.createDataFrame([(n, "k", f"p{n}") for n in (9, 3, 5, 40)], "number long, kind string, payload string")
+    got = documents.appended(rows, 7, "tail").orderBy("seq").collect()
+    assert [(r.seq, r.event_id) for r in got] == [(8, "evt-3"), (9, "evt-5"), (10, "evt-9"), (11, "evt-40")]
+    assert [r.prev_hash for r in got] == ["tail", *(r.payload_hash for r in got[:-1])]
+
+
+def test_components_against_closure(spark):
+    pairs = [(k, (k * 7 + 3) % 60) for k in range(60) if k % 4] + [(k, (k * 11 + 5) % 60) for k in range(0, 60, 5)] + [(100 + k, 101 + k) for k in range(12)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    ways = [(a, b) for a, b in pairs] + [(b, a) for a, b in pairs]
+
+    def closure(edges):
+        reach = {a: {b for x, b in edges if x == a} for a in {n for e in edges for n in e}}
+        while True:
+            grown = {a: bs.union(*(reach[b] for b in bs)) for a, bs in reach.items()}
+            if grown == reach:
+                return reach
+            reach = grown
+
+    both = closure(ways)
+    got = {r.node: r.cluster for r in graph.clusters(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {a: min(bs | {a}) for a, bs in both.items()}
+    one_way = closure(pairs)
+    strong = {a: {b for b in bs if a in one_way[b] and b != a} | {a} for a, bs in one_way.items()}
+    got = {r.node: (r.component, r.size) for r in graph.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {a: (min(m), len(m)) for a, m in strong.items() if len(m) > 1}
+
+
 def test_similar_bodies_against_all_pairs(spark):
     base = [f"line {k} of it" for k in range(30)]
     bodies = {f"f{k}": [x if (j + 3 * k) % 31 else f"own {k} {j}" for j, x in enumerate(base[: 30 - k % 3])] for k in range(12)}
