@@ -35,6 +35,13 @@ def merged_scores(assessed: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("dimension", "n", "least", F.coalesce("pressure", F.lit(0)).alias("pressure"), F.greatest(F.lit(60.0), F.least(F.lit(90.0), score)).alias("score"))
 
 
+def mean_scores(assessed: DataFrame) -> DataFrame:
+    """assessed (batch, dimension, score, note): per dimension the mean score to one decimal, halves up, and the last batch's note, the greatest if it has several."""
+    mean = F.sum("score") / F.count("score")
+    last = F.max(F.when(F.col("note").isNotNull(), F.struct("batch", "note")))["note"]
+    return assessed.groupBy("dimension").agg((F.floor(10 * mean + 0.5) / 10).alias("score"), last.alias("note"))
+
+
 def near_target(scores: DataFrame, target: float, tolerance: float = 0.01) -> DataFrame:
     """The integrity check: dimensions whose score sits on the target, if there are two or more; their score becomes 0."""
     hit = F.abs(F.col("score") - target) <= tolerance

@@ -76,6 +76,11 @@ def zone_exclude(spark: SparkSession, d: str) -> DataFrame:
     return _zoned(spark, d).where(~F.col("zone").isin("vendor", "generated")).select("path")
 
 
+@query("files", f", {_ZONE_SQL} select path, zone from zoned where zone in ('test', 'script')")
+def zone_only(spark: SparkSession, d: str) -> DataFrame:
+    return _zoned(spark, d).where(F.col("zone").isin("test", "script"))
+
+
 @query("files", """select path, path like 'src1/%' as in_scope, path like '%.txt' as by_end, path like 'src7%' as by_start, path like '%/en/%' and path like '%4.txt' as inside, path like '%de/doc%' as contained,
   regexp_matches(path, '^src.*/en/doc_.*\\.txt$') as glob, regexp_matches(path, '^(.*/)?doc_.\\.txt$') as tree from files""")
 def path_patterns(spark: SparkSession, d: str) -> DataFrame:

@@ -158,6 +158,11 @@ def review_integrity(spark: SparkSession, d: str) -> DataFrame:
     return review.near_target(_per_dimension(spark, d), 78.0)
 
 
+@query("assessments", """ select dimension, floor(10 * (sum(score) / count(score)) + 0.5) / 10 as score, (array_agg('note ' || doc_id order by batch desc, 'note ' || doc_id desc))[1] as note from assessments group by dimension""")
+def review_means(spark: SparkSession, d: str) -> DataFrame:
+    return review.mean_scores(rel.assessments(spark, d).withColumn("note", F.concat(F.lit("note "), "doc_id")))
+
+
 @query("assessments review_findings", f", {_BATCH} select dimension, score from s where score < 85 and dimension not in (select dimension from review_findings where confidence = 'low' and turn > 4 and identifier < 'c3')")
 def review_feedback(spark: SparkSession, d: str) -> DataFrame:
     return review.missing_feedback(_per_dimension(spark, d), rel.review_findings(spark, d).where("confidence = 'low' and turn > 4 and identifier < 'c3'"))
