@@ -124,12 +124,18 @@ def _reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """(node, cluster): connected components of pairs (a, b) by hooking to the least neighbour and contracting."""
+    """(node, cluster): connected components of pairs (a, b) by hooking to the least neighbour and contracting whole trees."""
     e = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")))
+        while True:  # pointer doubling, so that a chain of hooks shrinks at once
+            higher = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            jumped = written(hooks.join(higher, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")))
+            hooks = jumped.select("node", "up")
+            if not jumped.where("moved").limit(1).count():
+                break
         if roots is None:
             roots = hooks.select("node", F.col("up").alias("cluster"))
         else:

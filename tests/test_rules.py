@@ -136,6 +136,11 @@ def test_appended_continues_the_chain(spark):
     assert [r.prev_hash for r in got] == ["tail", *(r.payload_hash for r in got[:-1])]
 
 
+def test_a_long_chain_is_one_cluster(spark):
+    chain = spark.range(400).selectExpr("id as a", "id + 1 as b")
+    assert {tuple(r) for r in graph.clusters(chain).collect()} == {(k, 0) for k in range(401)}
+
+
 def test_components_against_closure(spark):
     pairs = [(k, (k * 7 + 3) % 60) for k in range(60) if k % 4] + [(k, (k * 11 + 5) % 60) for k in range(0, 60, 5)] + [(100 + k, 101 + k) for k in range(12)]
     pairs = [(a, b) for a, b in pairs if a != b]
