@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import patterns, text
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/evidentia-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from evidentia.sources.written import written
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -123,8 +114,10 @@ def _reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen = grown
 
 
-def clusters(pairs: DataFrame) -> DataFrame:
-    """(node, cluster): connected components of pairs (a, b) by hooking to the least neighbour and contracting whole trees."""
+def clusters(pairs: DataFrame, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(node, cluster): connected components of pairs (a, b) by hooking to the least neighbour and contracting whole trees. Self loops
+    and repeated pairs do no harm; no pairs, no rows. The least node of a component names it. `written` writes the steps' tables.
+    """
     e = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
     while not e.isEmpty():

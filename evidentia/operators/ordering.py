@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.graph import written
+from evidentia.sources.written import written
 
 
 def numbered(rows: DataFrame, *order: str, name: str = "place") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from evidentia.operators import ledger
 from evidentia.plans.relation_sql import with_relations
 from evidentia.sources import documents as src
 from evidentia.sources import relations as rel
+from evidentia.sources.written import scratch
 from evidentia.streaming import ledger_stream
 
 QUERIES: dict = {}
@@ -112,7 +112,7 @@ def json_merge_patch(spark: SparkSession, d: str) -> DataFrame:
 @query("", None)
 def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
     """Tampered chains, dealt out of order over files, checked as a stream; verdicts as written by the sink."""
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/evidentia-stream-{uuid.uuid4().hex}"
+    base = scratch(spark)
     events = rel.ledgers(spark, d)
     events.repartition(3, F.col("seq") % 7).write.parquet(f"{base}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import patterns
 from evidentia.functions.text import extension, finding_id, relative, status_canonical
-from evidentia.operators.graph import written
+from evidentia.sources.written import written
 from evidentia.operators.ordering import numbered
 
 FINDING = "struct<id:string,detector:string,file:string,tier:int,confidence:string,summary:string,status:string,note:string,first_seen:string,last_seen:string,resolved_at:string,reopen_count:int,suppressed:boolean,zone:string,lang:string>"
