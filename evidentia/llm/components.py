@@ -1,34 +1,18 @@
-"""Connected components of an edge table by distributed union-find: hook every node to its least neighbour, contract, repeat.
+"""Connected components of an edge table: every node hooks to its least neighbour, whole trees of hooks are contracted by pointer
+doubling, and the rest of the edges goes on between the trees. Rounds and written tables grow with the logarithm of a chain's length.
 
-Each step keeps the least node of every component a root, so the final root is the component's least node. A node is
-handled by partial minima and joins, never by collecting its neighbours. Every step's small tables are written to the
+A node is handled by partial minima and joins, never by collecting its neighbours. Every step's small tables are written to the
 shared folder, so a lost executor costs a re-read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evidentia.llm.tables import written
+from evidentia.operators.graph import clusters
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes in edges(a, b); self loops and repeated edges do no harm. No edges, no rows."""
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")))
-        if roots is None:
-            roots = hooks.select("node", F.col("up").alias("root"))
-        else:
-            up = hooks.select(F.col("node").alias("root"), "up")
-            roots = written(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-        at_a = hooks.select(F.col("node").alias("a"), F.col("up").alias("up_a"))
-        at_b = hooks.select(F.col("node").alias("b"), F.col("up").alias("up_b"))
-        moved = edges.join(at_a, "a").join(at_b, "b").where("up_a <> up_b")
-        edges = written(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
-    if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+    """(node, root) of all nodes in edges(a, b), root the least node of the component; self loops and repeated edges do no harm. No edges, no rows."""
+    return clusters(edges, written).withColumnRenamed("cluster", "root")

@@ -45,4 +45,35 @@ b as (select w.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as wo
     from w join c using (rid) left join r using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and lost_chars * 2 <= word_chars as kept, n_lines, n_failed_lines, lost_chars, clean_sha256 from b"""
 
-ORACLES = {"op4_repeat_removal": REPEATS, "op9_near_dedup": NEAR, "op10_quality_rules": QUALITY}
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _rounds(rounds: int, group: str) -> str:
+    """a<k>: nearest of the entries c<k>, at first c0, for each row and `group`; c<k+1>: floors of the means."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""d{k} as materialized (select rid, x.{group}, c, sum((x - y) * (x - y)) as d from x join c{k} using (p) group by 1, 2, 3),
+a{k} as materialized (select rid, {group}, c, d from d{k} qualify row_number() over (partition by rid, {group} order by d, c) = 1)""")
+        if k < rounds:
+            out.append(f"""c{k + 1} as materialized (select c, p, {group}, coalesce(m, y) as y from c{k} left join (select c, p, floor(sum(x) / count(*))::bigint as m from x join a{k} using (rid, {group}) group by 1, 2) using (c, p))""")
+    return ",\n".join(out)
+
+
+CODES = f"""with k as materialized (select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where {_FINITE}),
+x as materialized (select rid, p, (p - 1) * 4 // n as g, x from (select rid, len(v) as n, unnest(v) as x, generate_subscripts(v, 1) as p from k)),
+s as (select rid, row_number() over (order by vec_id) - 1 as c from k order by vec_id limit 256),
+c0 as materialized (select c, p, g, x as y from x join s using (rid)),
+{_rounds(4, "g")},
+e as (select rid, string_agg(format('{{:02x}}', c), '' order by g) as code, sum(d)::bigint as error from a4 group by rid),
+h as (select sha256(string_agg(y::varchar, ',' order by g, c, p)) as codebooks_sha256 from c4)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from k join e using (rid), h"""
+
+CLUSTERS = f"""with k as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where len(embedding) = 64 and {_FINITE}),
+x as materialized (select rid, 0 as g, unnest(v) as x, generate_subscripts(v, 1) as p from k),
+s as (select rid, row_number() over (order by sha256('2:' || vec_id)) - 1 as c from k order by sha256('2:' || vec_id) limit 40),
+c0 as materialized (select c, p, g, x as y from x join s using (rid)),
+{_rounds(5, "g")},
+h as (select c, sha256(string_agg(y::varchar, ',' order by p)) as centroid_sha256 from c5 group by c)
+select vec_id, c::int as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, centroid_sha256 from k join a5 using (rid) join h using (c)"""
+
+ORACLES = {"op4_repeat_removal": REPEATS, "op9_near_dedup": NEAR, "op10_quality_rules": QUALITY, "op11_vector_codes": CODES, "op13_centroid_clusters": CLUSTERS}
