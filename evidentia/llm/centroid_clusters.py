@@ -83,11 +83,11 @@ def _moves(width: int):
     return run
 
 
-def seeds(kept: DataFrame, clusters: int) -> np.ndarray:
+def seeds(kept: DataFrame, clusters: int, width: int) -> np.ndarray:
     """The vectors with the smallest sha256 of `2:<vec_id>`; ties (repeated vec_ids) by their components, missing vec_ids last."""
     name = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
     rows = kept.select(name.alias("name"), "parts").orderBy(F.asc_nulls_last("name"), "parts").limit(clusters).collect()
-    return np.array([r.parts for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.parts for r in rows], np.int64).reshape(len(rows), width)
 
 
 def _keys_in(after: np.ndarray, upto: np.ndarray | None = None) -> str:
@@ -99,10 +99,10 @@ def _keys_in(after: np.ndarray, upto: np.ndarray | None = None) -> str:
 class Clustering:
     """Runs of scanned vectors with the centroids' state; `rounds` tells how many vectors each round scanned."""
 
-    def __init__(self, kept: DataFrame, clusters: int):
+    def __init__(self, kept: DataFrame, clusters: int, width: int):
         self.kept = tables.written(kept)
-        self.centroids = seeds(self.kept, clusters)
-        k, width = self.centroids.shape
+        self.centroids = seeds(self.kept, clusters, width)
+        k = len(self.centroids)
         self.sums, self.counts, self.passed = np.zeros((k, width), object), np.zeros(k, object), np.zeros(k)
         self.runs: list[DataFrame] = []
         self.scanned: list[int] = []
@@ -144,7 +144,7 @@ class Clustering:
 def cluster(df: DataFrame, width: int = WIDTH, scale: int = SCALE, clusters: int = CLUSTERS, rounds: int = ROUNDS) -> tuple[DataFrame, Clustering]:
     """(vec_id, cluster, distance) after `rounds` rounds and a last assignment, and the clustering with its centroids."""
     tables.bound_batches(df.sparkSession)
-    state = Clustering(whole(df, scale).where(F.size("parts") == width), clusters)
+    state = Clustering(whole(df, scale).where(F.size("parts") == width), clusters, width)
     if not len(state.centroids):
         return state.kept.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")).limit(0), state
     for _ in range(rounds):

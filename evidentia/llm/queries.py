@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import best_fit_packing, byte_bpe, centroid_clusters, line_dedup, near_dedup, ngram_trie, payload_chunks, quality_rules, repeat_removal, secret_scan, token_counts, vector_codes
+from evidentia.llm import best_fit_packing, byte_bpe, centroid_clusters, line_dedup, near_dedup, ngram_trie, payload_chunks, quality_rules, repeat_removal, secret_scan, sim_dedup, token_counts, vector_codes
 from evidentia.llm.oracles import ORACLES
 from evidentia.llm.tables import read
 from evidentia.llm.tokenizers_public import default_path
@@ -56,11 +56,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.query(read(spark, sf_dir, "embeddings"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.query(read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_payload_chunks, op3_line_dedup, op4_repeat_removal, op5_byte_bpe, op6_secret_scan, op7_ngram_trie, op8_best_fit_packing, op9_near_dedup, op10_quality_rules, op11_vector_codes, op13_centroid_clusters)
+    f.__name__: f for f in (op1_token_counts, op2_payload_chunks, op3_line_dedup, op4_repeat_removal, op5_byte_bpe, op6_secret_scan, op7_ngram_trie, op8_best_fit_packing, op9_near_dedup, op10_quality_rules, op11_vector_codes, op12_simhash_dedup, op13_centroid_clusters)
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -156,7 +156,7 @@ def compress(df: DataFrame, scale: int = SCALE, parts: int = PARTS, entries: int
     length = next((r.length for r in commonest.collect()), 0)
     kept = kept.where(F.col("length") == length).drop("length")
     first = kept.select("vec_id", "parts").orderBy(F.asc_nulls_last("vec_id"), "parts").limit(entries).collect()
-    books = Codebooks(np.array([r.parts for r in first], np.int64).reshape(len(first), -1), parts, pivots)
+    books = Codebooks(np.array([r.parts for r in first], np.int64).reshape(len(first), length), parts, pivots)
     label = kept.schema["label"].dataType.simpleString()
     if not first:
         return kept.select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error")).limit(0), books

@@ -19,7 +19,7 @@ def whole(df: DataFrame, scale: int, label: bool = False) -> DataFrame:
     floor(scale * x), x as double. A row with a component beyond MOST is left out like a non-finite one: its distances fit no long."""
     x = F.col("embedding").cast("array<double>")
     kept = df.where(F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v) <= F.lit(MOST / scale))))
-    parts = F.transform(x, lambda v: F.floor(v * scale).cast("int")).alias("parts")
+    parts = F.transform(x, lambda v: F.floor(v * scale).try_cast("int")).alias("parts")
     return kept.select(F.col("vec_id").cast("long").alias("vec_id"), *[F.col("label")] * label, parts)
 
 
