@@ -100,11 +100,17 @@ def normalised(path: Column) -> Column:
     )
 
 
-def resolve_script(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (importer, module) of scripts: relative specifiers only; the path itself, then with .ts .tsx .js .jsx, then its index files."""
-    joined = normalised(F.concat(text.parent(F.col("importer")), F.lit("/"), F.col("module")))
+def script_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (importer, module, folder): the path itself, then with .ts .tsx .js .jsx, then its index files."""
+    joined = normalised(F.concat("folder", F.lit("/"), "module"))
     tails = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-    return _first_known(imports.where(F.col("module").startswith(".")), F.transform(F.array(*map(F.lit, tails)), lambda t: F.concat(joined, t)), files)
+    return _first_known(imports, F.transform(F.array(*map(F.lit, tails)), lambda t: F.concat(joined, t)), files)
+
+
+def resolve_script(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (importer, module) of scripts: relative specifiers only."""
+    relative = imports.where(F.col("module").startswith(".")).withColumn("folder", text.parent(F.col("importer")))
+    return script_targets(relative, files).drop("folder")
 
 
 def god_classes(classes: DataFrame) -> DataFrame:

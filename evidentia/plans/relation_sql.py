@@ -27,16 +27,20 @@ CUR = """cur as (select * exclude (third) replace ('open' as status, 0 as reopen
 POTENTIALS = f"""potentials as (select detector, case when detector = 'signature' then 0 else n * (list_position({_list(DETECTORS)}, detector) + 1) end::bigint as potential
   from (select {_list(DETECTORS)}[(o_orderkey % 12 + 1)::int] as detector, count(*) as n from orders group by 1) where detector <> 'orphaned')"""
 FILES = "files as (select source || '/' || lang || '/doc_' || doc_id || '.txt' as path, text as content from documents)"
-CODE_LINES = f"""code_lines as (
+CODE_LINES = f"""code_lines as materialized (
   select path, row_number() over (partition by path order by l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::int as line,
     replace({_list(TEMPLATES)}[((l_orderkey * 31 + l_linenumber * 7 + l_partkey) % {len(TEMPLATES)} + 1)::int], '{{k}}', (l_orderkey % 20)::varchar) as text
   from (select *, 'pkg' || (l_partkey % 7) || '/mod_' || l_partkey || '.' || ['py', 'ts', 'go', 'cs', 'dart', 'gd', 'tsx', 'py'][(l_partkey % 8 + 1)::int] as path from lineitem
     union all select *, 'big/sup_' || l_suppkey || '.py' from lineitem where l_suppkey % 10 = 0))"""
-SCRIPT_LINES = f"""script_lines as (
+def _unit(part: str) -> str:
+    return f"'app' || ({part} % 5) || case when {part} % 11 = 0 then '/test' else '' end || case when {part} % 3 = 0 then '/_unit_' else '/unit_' end || {part}"
+
+
+SCRIPT_LINES = f"""script_lines as materialized (
   select path, row_number() over (partition by path order by l_orderkey, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity)::int as line,
-    replace(replace({_list(SCRIPT_TEMPLATES)}[((l_orderkey * 17 + l_linenumber * 5 + l_suppkey) % {len(SCRIPT_TEMPLATES)} + 1)::int], '{{k}}', (l_orderkey % 40)::varchar), '{{m}}', (l_orderkey % 40 % 5)::varchar) as text
-  from (select *, 'app' || (l_partkey % 5) || case when l_partkey % 11 = 0 then '/test' else '' end || case when l_partkey % 3 = 0 then '/_unit_' else '/unit_' end || l_partkey
-    || '.' || ['py', 'ts', 'gd', 'cs', 'dart', 'gd', 'tsx', 'py'][(l_partkey % 8 + 1)::int] as path from lineitem))"""
+    replace(replace(replace(replace({_list(SCRIPT_TEMPLATES)}[((l_orderkey * 17 + l_linenumber * 5 + l_suppkey) % {len(SCRIPT_TEMPLATES)} + 1)::int], '{{k}}', (l_orderkey % 40)::varchar), '{{m}}', (l_orderkey % 40 % 5)::varchar), '{{s}}', other), '{{d}}', replace(other, '/', '.')) as text
+  from (select *, {_unit("l_partkey")} || '.' || ['py', 'ts', 'gd', 'cs', 'dart', 'gd', 'tsx', 'py'][(l_partkey % 8 + 1)::int] as path, {_unit("near")} as other
+    from (select *, greatest(l_partkey + 8 * (l_linenumber - 4), l_partkey % 8) as near from lineitem)))"""
 EDGES = """edges as (
   with item as (select l_orderkey, l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_partkey) as dst from lineitem)
   select distinct src, dst, (src + dst) % 9 = 0 as deferred from (select src, dst from item union all select dst, src from item where l_orderkey % 500 = 0) where src <> dst)"""

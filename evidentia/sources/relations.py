@@ -202,17 +202,40 @@ SCRIPT_TEMPLATES = [
     "subprocess(cmd{k})",
     "pickle.loads(data{k})",
     "yaml.load(text{k})",
+    "import { part{k} } from '../{s}'",
+    "export * from '../{s}'",
+    "const late{k} = await import('../{s}')",
+    "const old{k} = require( '../{s}' )",
+    "import '../{s}'",
+    "import { bare{k} } from 'bare-{k}'",
+    "import {d}",
+    "from {d} import part{k}",
+    "def run_{k}(self):",
+    "    import {d}",
+    "    from {d} import deep{k}",
+    "        return deep{k}",
+    "async def wait_{k}(self):",
+    "    # a note on part{k}",
+    "    ",
+    "done = run_{k}(part{k})",
 ]
 
 
+def _unit(part: Column) -> Column:
+    """The path of a part's script file, without its extension."""
+    folder = F.concat(F.lit("app"), part % 5, F.when(part % 11 == 0, "/test").otherwise(""), F.when(part % 3 == 0, "/_unit_").otherwise("/unit_"))
+    return F.concat(folder, part)
+
+
 def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of parts in eight kinds, some in test folders, some private."""
+    """Files of parts in eight kinds, some in test folders, some private; they import parts of the same kind nearby ({s}, dotted {d})."""
     item, order, part = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"], F.col("l_partkey")
-    folder = F.concat(F.lit("app"), part % 5, F.when(part % 11 == 0, "/test").otherwise(""), F.when(part % 3 == 0, "/_unit_").otherwise("/unit_"))
-    path = F.concat(folder, part, F.lit("."), pick(["py", "ts", "gd", "cs", "dart", "gd", "tsx", "py"], part % 8))
-    text = pick(SCRIPT_TEMPLATES, (F.col("l_orderkey") * 17 + F.col("l_linenumber") * 5 + F.col("l_suppkey")) % len(SCRIPT_TEMPLATES))
+    path = F.concat(_unit(part), F.lit("."), pick(["py", "ts", "gd", "cs", "dart", "gd", "tsx", "py"], part % 8))
+    other = _unit(F.greatest(part + 8 * (F.col("l_linenumber") - 4), part % 8))
     k = F.col("l_orderkey") % 40
-    filled = F.replace(F.replace(text, F.lit("{k}"), k.cast("string")), F.lit("{m}"), (k % 5).cast("string"))
+    filled = pick(SCRIPT_TEMPLATES, (F.col("l_orderkey") * 17 + F.col("l_linenumber") * 5 + F.col("l_suppkey")) % len(SCRIPT_TEMPLATES))
+    for mark, value in (("{k}", k.cast("string")), ("{m}", (k % 5).cast("string")), ("{s}", other), ("{d}", F.translate(other, "/", "."))):
+        filled = F.replace(filled, F.lit(mark), value)
     placed = item.select(path.alias("path"), filled.alias("text"), *order)
     return placed.select("path", F.row_number().over(Window.partitionBy("path").orderBy(*order)).alias("line"), "text")
 
