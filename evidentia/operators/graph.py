@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,53 +66,95 @@ def layer_violations(edges: DataFrame, paths: DataFrame, low: str, high: str) ->
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size) of the strongly connected components with more than one node; component is the least node.
 
-    Nodes without a way in or out are trimmed first, again and again. Of what is left, each round spreads, forward and then backward
-    inside equal forward labels, the least label that reaches a node; a node whose label is its root's and that
-    reaches the root back is in the root's component, which is taken out. Every step is a join and a partial minimum.
+    The graph is made small first, again and again: chains of nodes with one way in and one way out become one edge, by pointer doubling, and nodes
+    without a way in or out are trimmed. A chain's nodes are in the component of its ends if that is one component, else in none. Of what is
+    left, each round spreads, forward and then backward inside equal forward labels, the first label (in an order of hashes) that reaches a node; a node whose label is its root's
+    and that reaches the root back is in the root's component, which is taken out. Every step is a join and a partial minimum.
     """
     e = written(edges.select("src", "dst").where("src <> dst").distinct())
-    done = None
+    found: list[DataFrame] = []  # (node, comp) of components that are done
+    chains: list[DataFrame] = []  # (node, first, last) in the order of contraction
+    size = e.count()
+    while size:
+        e, chain, cycles = _without_chains(e)
+        found.append(cycles)
+        chains.append(chain)
+        e = written(_trimmed(_trimmed(_trimmed(e))))
+        before, size = size, e.count()
+        if size and 4 * size > 3 * before:
+            members = _taken_out(e)
+            found.append(members)
+            gone = members.select("node")
+            e = written(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+            size = e.count()
+    if not found:
+        return e.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
+    comps = reduce(DataFrame.union, found)
+    for chain in reversed(chains):
+        if not chain.isEmpty():  # ends that are in no larger component stand for themselves
+            end = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))  # noqa: B023, E731
+            placed = chain.join(end("first"), "first", "left").join(end("last"), "last", "left").select("node", "first", F.coalesce("comp_first", "first").alias("comp"), F.coalesce("comp_last", "last").alias("other")).where("comp = other")
+            own = placed.select(F.col("first").alias("node"), "comp").distinct()
+            comps = written(comps.union(placed.select("node", "comp")).union(own).distinct())
+    names = comps.groupBy("comp").agg(F.min("node").alias("component"), F.count("*").alias("size")).where("size > 1")
+    return comps.join(names, "comp").select("node", "component", "size")
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges from nodes with a way in to nodes with a way out."""
+    return e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+
+
+def _without_chains(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with each chain as one edge; (node, first, last) of the chains' nodes and the ends; (node, comp) of cycles that are nothing but a chain."""
+    ins = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("first"))
+    outs = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("last"))
+    inner = written(ins.where("n_in = 1").join(outs.where("n_out = 1"), "node").select("node", "first", "last", F.col("node").alias("low")))
+    names = inner.select("node")
+    steps, left = 1, inner.count()
+    state = inner
+    while left and steps < 2 * left:  # after `steps` steps each way; a cycle has been round by then
+        # each way jumps over the inner node that it points to
+        back, ahead = state.select(F.col("node").alias("first"), F.col("first").alias("first2"), F.col("low").alias("low2")), state.select(F.col("node").alias("last"), F.col("last").alias("last2"))
+        jumped = state.join(back, "first", "left").join(ahead, "last", "left")
+        state = written(jumped.select("node", F.coalesce("first2", "first").alias("first"), F.coalesce("last2", "last").alias("last"), F.least("low", "low2").alias("low")))
+        steps *= 2
+        if state.join(names.withColumnRenamed("node", "first"), "first", "left_semi").isEmpty() and state.join(names.withColumnRenamed("node", "last"), "last", "left_semi").isEmpty():
+            break
+    ended = state.join(names.withColumnRenamed("node", "first"), "first", "left_anti").select("node", "first", "last")
+    cycles = state.join(names.withColumnRenamed("node", "first"), "first", "left_semi").select("node", F.col("low").alias("comp"))
+    outer = e.join(names.withColumnRenamed("node", "src"), "src", "left_anti").join(names.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    short = ended.select(F.col("first").alias("src"), F.col("last").alias("dst")).where("src <> dst")
+    return written(outer.union(short).distinct()), ended, cycles
+
+
+def _taken_out(e: DataFrame) -> DataFrame:
+    """(node, comp) of the roots' components: of each label that has spread, the nodes that reach its root back."""
+    start = nodes(e).select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root")).alias("label"))
+    ahead = _first_reaching(e, start)
+    inside = e.join(ahead.withColumnRenamed("node", "src"), "src").join(ahead.select(F.col("node").alias("dst"), F.col("label").alias("label_dst")), "dst").where("label = label_dst")
+    back = written(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())
+    return _reach(back, ahead.where("node = label.root").select("node", F.col("label.root").alias("comp")))
+
+
+def _first_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The first label that reaches each node along edges; a round goes on only from nodes whose label has changed."""
+    labels = written(labels.withColumn("changed", F.lit(True)))
     while True:
-        while True:  # trim
-            kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            kept = written(kept)
-            if kept.count() == e.count():
-                break
-            e = kept
-        if e.isEmpty():
-            return done if done is not None else e.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
-        ahead = _least_reaching(e, nodes(e).withColumn("label", F.col("node")))
-        inside = e.join(ahead.withColumnRenamed("node", "src"), "src").join(ahead.select(F.col("node").alias("dst"), F.col("label").alias("label_dst")), "dst").where("label = label_dst")
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        # what reaches the root of its label, going backwards from it
-        members = _reach(written(back.distinct()), ahead.where("node = label").select("node", "label"))
-        found = members.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("size"))
-        sized = written(members.withColumnRenamed("label", "component").join(found.where("size > 1"), "component").select("node", "component", "size"))
-        done = sized if done is None else done.unionByName(sized)
-        gone = members.select("node")
-        e = written(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-
-
-def _least_reaching(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """The least label that reaches each node along edges."""
-    labels = written(labels)
-    while True:
-        moved = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("label"))
-        best = written(labels.union(moved).groupBy("node").agg(F.min("label").alias("label")))
-        if not best.join(labels.withColumnRenamed("label", "was"), "node").where("label < was").limit(1).count():
-            return best
-        labels = best
+        moved = edges.join(labels.where("changed").select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
+        better = F.coalesce(F.col("new") < F.col("label"), F.lit(False))
+        labels = written(labels.join(moved, "node", "left").select("node", F.when(better, F.col("new")).otherwise(F.col("label")).alias("label"), better.alias("changed")))
+        if labels.where("changed").isEmpty():
+            return labels.select("node", "label")
 
 
 def _reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, label): what the roots reach along edges, each edge inside one label."""
-    seen = written(roots)
-    while True:
-        new = edges.join(seen.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label").distinct().join(seen, ["node", "label"], "left_anti")
-        grown = written(seen.union(new))
-        if grown.count() == seen.count():
-            return grown
-        seen = grown
+    """(node, comp): what the roots reach along edges; the last hop's new nodes go on."""
+    seen = new = written(roots)
+    while not new.isEmpty():
+        new = written(edges.join(new.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "comp").distinct().join(seen, ["node", "comp"], "left_anti"))
+        seen = seen.union(new)
+    return seen
 
 
 def clusters(pairs: DataFrame, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:

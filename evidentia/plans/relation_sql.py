@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evidentia.sources.ledger_events import ledger_events_sql
 from evidentia.sources.relations import DETECTORS, SCRIPT_TEMPLATES, SMELLS, TEMPLATES, ZONES
 
 
@@ -55,7 +56,9 @@ LEDGER = f"""ledger as (select row_number() over w as seq, 'evt-' || event_id as
   sha256(props) as payload_hash, ts as at, event_type as kind, props as payload, event_id as number from events window w as (order by event_id))"""
 TAMPERED = "tampered as (select * exclude (number) replace (case when number % 1000 = 7 then payload || ' ' else payload end as payload) from ledger)"
 
-_NEEDS = {"all_findings": ALL_FINDINGS, "prev": PREV, "cur": CUR, "potentials": POTENTIALS, "files": FILES, "code_lines": CODE_LINES, "script_lines": SCRIPT_LINES, "edges": EDGES, "history": HISTORY, "assessments": ASSESSMENTS, "review_findings": REVIEW_FINDINGS, "ledger": LEDGER, "tampered": TAMPERED}
+LEDGER_EVENTS = f"ledger_events as materialized ({ledger_events_sql('events', '//', 'sha256({})')})"
+
+_NEEDS = {"ledger_events": LEDGER_EVENTS, "all_findings": ALL_FINDINGS, "prev": PREV, "cur": CUR, "potentials": POTENTIALS, "files": FILES, "code_lines": CODE_LINES, "script_lines": SCRIPT_LINES, "edges": EDGES, "history": HISTORY, "assessments": ASSESSMENTS, "review_findings": REVIEW_FINDINGS, "ledger": LEDGER, "tampered": TAMPERED}
 
 
 def with_relations(names: str, query: str, recursive: bool = False) -> str:
