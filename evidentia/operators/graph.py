@@ -12,6 +12,10 @@ from evidentia.functions import patterns, text
 from evidentia.sources.written import written
 
 
+#: Rounds of `clusters` that contract one hop only, which is all that most graphs need.
+HOPS = 2
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
@@ -158,19 +162,21 @@ def _reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def clusters(pairs: DataFrame, written: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
-    """(node, cluster): connected components of pairs (a, b) by hooking to the least neighbour and contracting whole trees. Self loops
-    and repeated pairs do no harm; no pairs, no rows. The least node of a component names it. `written` writes the steps' tables.
+    """(node, cluster): connected components of pairs (a, b): every node hooks to its least neighbour, and what hooks is contracted, one hop in the first
+    rounds and then whole trees. Self loops and repeated pairs do no harm; no pairs, no rows. The least node of a component names it.
+    `written` writes the steps' tables.
     """
     e = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = None
+    roots, rounds = None, 0
     while not e.isEmpty():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")))
-        while True:  # pointer doubling, so that a chain of hooks shrinks at once
+        rounds += 1
+        while rounds > HOPS:  # what is still there has long chains of hooks: pointer doubling
             higher = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
             jumped = written(hooks.join(higher, "up").select("node", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")))
             hooks = jumped.select("node", "up")
-            if not jumped.where("moved").limit(1).count():
+            if jumped.where("moved").isEmpty():
                 break
         if roots is None:
             roots = hooks.select("node", F.col("up").alias("cluster"))
