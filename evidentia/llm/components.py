@@ -1,5 +1,5 @@
-"""Connected components of an edge table: every node hooks to its least neighbour, whole trees of hooks are contracted by pointer
-doubling, and the rest of the edges goes on between the trees. Rounds and written tables grow with the logarithm of a chain's length.
+"""Connected components of an edge table: every node hooks to its least neighbour and what hooks is contracted, after the first rounds whole
+trees by pointer doubling; the rest of the edges goes on between the trees. Rounds and written tables grow with the logarithm of a chain's length.
 
 A node is handled by partial minima and joins, never by collecting its neighbours. Every step's small tables are written to the
 shared folder, so a lost executor costs a re-read.
