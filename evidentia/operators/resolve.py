@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 
-#: Fixed values: (language, extensions, depth, large-file lines, complexity threshold, marker files; `*` stands for a name before an extension).
+#: Fixed values, in the order in which a project is tested for them: (language, extensions, depth, large-file lines, complexity threshold, marker files; `*` stands for a name before an extension).
 LANGUAGES = [
     ("python", "py", "Full", 300, 20, "setup.py pyproject.toml requirements.txt Pipfile"),
     ("typescript", "ts tsx", "Standard", 300, 20, "tsconfig.json package.json"),
     ("javascript", "js jsx mjs", "Standard", 300, 20, "package.json"),
-    ("rust", "rs", "Standard", 400, 20, "Cargo.toml Cargo.lock"),
     ("go", "go", "Full", 400, 20, "go.mod go.sum"),
+    ("csharp", "cs", "Standard", 400, 25, "global.json *.csproj *.sln"),
+    ("dart", "dart", "Standard", 300, 20, "pubspec.yaml pubspec.lock"),
+    ("rust", "rs", "Standard", 400, 20, "Cargo.toml Cargo.lock"),
     ("java", "java", "Standard", 400, 25, "pom.xml build.gradle build.gradle.kts"),
     ("kotlin", "kt kts", "Shallow", 350, 20, "build.gradle.kts build.gradle settings.gradle.kts"),
     ("ruby", "rb", "Standard", 300, 20, "Gemfile Rakefile .ruby-version"),
@@ -38,8 +40,6 @@ LANGUAGES = [
     ("cpp", "cpp cc cxx hpp h", "Standard", 500, 25, "CMakeLists.txt Makefile meson.build"),
     ("c", "c h", "Shallow", 500, 25, "CMakeLists.txt Makefile"),
     ("clojure", "clj cljs cljc", "Minimal", 300, 20, "project.clj deps.edn"),
-    ("csharp", "cs", "Standard", 400, 25, "global.json *.csproj *.sln"),
-    ("dart", "dart", "Standard", 300, 20, "pubspec.yaml pubspec.lock"),
 ]
 
 

@@ -67,12 +67,15 @@ def import_script(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_script(imports, files)
 
 
-@query("", """select 'p' || (o_custkey % 300) as project, arg_min(case o_orderkey % 5 when 0 then 'rust' when 1 then 'python' when 2 then 'go' else 'php' end, case o_orderkey % 5 when 0 then 3 when 1 then 0 when 2 then 4 else 8 end) as language
-  from orders where o_orderkey % 5 < 4 group by 1""")
+# the project's languages by name, in the declared order
+@query("", """with f as (select 'p' || o_custkey as project, ['Cargo.toml', 'setup.py', 'go.mod', 'composer.json', 'src/setup.py', 'app.csproj', 'pubspec.yaml', 'package.json', 'lib/go.mod', 'tsconfig.json', 'README.md'][(o_orderkey % 1009 % 11 + 1)::int] as path from orders),
+  l as (select project, case path when 'Cargo.toml' then 'rust' when 'setup.py' then 'python' when 'go.mod' then 'go' when 'composer.json' then 'php' when 'app.csproj' then 'csharp' when 'pubspec.yaml' then 'dart' when 'package.json' then 'typescript' when 'tsconfig.json' then 'typescript' end as language from f)
+  select project, arg_min(language, list_position(['python', 'typescript', 'javascript', 'go', 'csharp', 'dart', 'rust', 'java', 'kotlin', 'ruby', 'php'], language)) as language from l where language is not null group by 1""")
 def language_sniff(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    name = F.when(k == 0, "Cargo.toml").when(k == 1, "setup.py").when(k == 2, "go.mod").when(k == 3, "composer.json").otherwise("src/setup.py")
-    return resolve.detected(spark, rel.table(spark, d, "orders").select(F.concat(F.lit("p"), F.col("o_custkey") % 300).alias("project"), name.alias("path")))
+    """Projects of some files each, with markers of several languages."""
+    names = ["Cargo.toml", "setup.py", "go.mod", "composer.json", "src/setup.py", "app.csproj", "pubspec.yaml", "package.json", "lib/go.mod", "tsconfig.json", "README.md"]
+    files = rel.table(spark, d, "orders").select(F.concat(F.lit("p"), "o_custkey").alias("project"), rel.pick(names, F.col("o_orderkey") % 1009 % 11).alias("path"))
+    return resolve.detected(spark, files)
 
 
 @query("code_lines", """select ext, case ext when 'py' then 'python' when 'ts' then 'typescript' when 'tsx' then 'typescript' when 'go' then 'go' when 'cs' then 'csharp' when 'dart' then 'dart' else 'gdscript' end as language, count(*) as files

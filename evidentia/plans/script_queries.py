@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.operators import detectors as det
+from evidentia.operators import python_imports
 from evidentia.operators import script_rules as rules
 from evidentia.plans.code_queries import _s
 from evidentia.plans.relation_sql import with_relations
@@ -93,12 +94,44 @@ def unused_script_imports(spark: SparkSession, d: str) -> DataFrame:
     return rules.unused_script_imports(rel.script_lines(spark, d))
 
 
-@query(""", own as (select path, line, text, regexp_extract(path, '^(.*)/', 1) as dir, regexp_extract(text, '_unit_\\d+', 0) as unit, regexp_extract(text, '(app\\d+)', 1) as app from script_lines where path like '%.py'),
-  c as (select path, dir, line, unit as name, app || '/' || unit || '.py' as resolved from own where text like 'import _thread%' or text like 'from app%'
-    union all select path, dir, line, '_hidden', app || '/' || unit || '.py' from own where text like 'from app%\\_hidden%' escape '\\'
-    union all select path, dir, line, unit, dir || '/' || unit || '.py' from own where text like 'from .\\_unit%' escape '\\'),
-  known as (select distinct path as resolved from script_lines)
-  select path, name as private_name, resolved, min(line) as line from c semi join known using (resolved) where dir <> regexp_extract(resolved, '^(.*)/', 1) group by 1, 2, 3""")
+_TRY_TARGETS = r""", dots as (select path, module, length(regexp_extract(module, '^\.*', 0)) as n, replace(regexp_replace(module, '^\.+', ''), '.', '/') as tail, string_split(path, '/') as dirs from wanted),
+  bases as (select *, case when n = 0 then '' else array_to_string(dirs[:greatest(len(dirs) - n, 0)], '/') || '/' end as base from dots),
+  places as (select path, module, ltrim(base, '/') || tail || e as target, i as place from bases, (values ('.py', 0), ('/__init__.py', 1)) v(e, i) where n > 0 and tail <> ''
+    union all select path, module, ltrim(base, '/') || '__init__.py', 0 from bases where n > 0 and tail = ''
+    union all select path, module, array_to_string(string_split(module, '.')[:k], '/') || e, -2 * k + i from (select path, module, unnest(range(1, len(string_split(module, '.')) + 1)) as k from bases where n = 0), (values ('.py', 0), ('/__init__.py', 1)) v(e, i)),
+  resolved as (select path, module, arg_min(target, place) as target from places semi join (select distinct path as target from script_lines) using (target) group by 1, 2)"""
+_IS_PRIVATE = "x[1] = '_' and x not in ('__init__', '__main__')"
+
+
+@query(rf""", own as (select path, line, trim(text) as t from script_lines where path like '%.py'),
+  plain as (select path, line, trim(split_part(trim(m), ' ', 1), '(),') as module from (select path, line, unnest(string_split(regexp_extract(t, '^import\s+(.+)$', 1), ',')) as m from own where regexp_matches(t, '^import\s'))),
+  froms as (select path, line, regexp_extract(t, '^from\s+([.\w]+)\s+import\s+(.+)$', 1) as base, regexp_extract(t, '^from\s+([.\w]+)\s+import\s+(.+)$', 2) as names from own where regexp_matches(t, '^from\s+[.\w]+\s+import\s+.')),
+  items as (select path, line, base, trim(split_part(trim(n), ' ', 1), '(),') as x from (select path, line, base, unnest(string_split(names, ',')) as n from froms)),
+  c as (select path, line, module, list_filter(string_split(regexp_replace(module, '^\.+', ''), '.'), lambda x: {_IS_PRIVATE})[1] as name from (select path, line, module from plain union all select path, line, base from froms)
+    union all select path, line, case when base like '%.' then base || x else base || '.' || x end, x from items where {_IS_PRIVATE}),
+  wanted as (select distinct path, module from c where name is not null){_TRY_TARGETS}
+  select path, name as private_name, target as resolved, min(line) as line from c join resolved using (path, module) where name is not null and regexp_extract(path, '^(.*)/', 1) <> regexp_extract(target, '^(.*)/', 1) group by 1, 2, 3""")
 def private_imports(spark: SparkSession, d: str) -> DataFrame:
     lines = rel.script_lines(spark, d)
     return rules.private_imports(lines, lines.select("path").distinct())
+
+
+# each import looks back for the guard that it is in and forward for its next mention
+@query(r""", own as materialized (select path, line, text, trim(text) as t, length(text) - length(ltrim(text)) as ind from script_lines where path like '%.py'),
+  imps as (select * from own where regexp_matches(t, '^(import\s+\S|from\s+\S+\s+import\s+.)') and t not like '%# noqa%'),
+  tries as (select i.path, i.line, max(g.line) as since from imps i join own g on g.path = i.path and g.line < i.line and g.t = 'try:' group by 1, 2),
+  ended as (select t.path, t.line from tries t join own x on x.path = t.path and x.line > t.since and x.line <= t.line where x.t <> '' and x.ind = 0 and x.t not in ('try:', 'finally:') and x.t not like 'except%' and x.t not like 'if TYPE_CHECKING:%'),
+  types as (select i.path, i.line, max(g.line) as since, arg_max(g.ind, g.line) as depth from imps i join own g on g.path = i.path and g.line < i.line and g.t like 'if TYPE_CHECKING:%' group by 1, 2),
+  left_type as (select t.path, t.line from types t join own x on x.path = t.path and x.line > t.since and x.line <= t.line where x.t <> '' and x.ind <= t.depth),
+  free as (select * from imps anti join (select path, line from tries anti join ended using (path, line)) using (path, line) anti join (select path, line from types anti join left_type using (path, line)) using (path, line)),
+  names as (select path, line, split_part(rtrim(regexp_extract(t, '^import\s+(\S+)', 1), ','), '.', 1) as name from free where t like 'import%' and regexp_extract(t, '^import\s+(\S+)', 1) like '%.%'
+    union all select path, line, case when s like '% as %' then trim(split_part(s, ' as ', 2)) else s end from (
+      select path, line, trim(trim(trim(split_part(s, '#', 1)), '()')) as s from (select path, line, unnest(string_split(regexp_extract(t, '^from\s+\S+\s+import\s+(.+)', 1), ',')) as s from free where t like 'from%' and not starts_with(t, 'from __future__')))),
+  lists as (select s.path, s.line as a, coalesce(min(x.line), 1000000000) as b from own s left join own x on x.path = s.path and x.line >= s.line and contains(x.text, ']') where contains(s.text, '__all__ = [') group by 1, 2),
+  exports as (select distinct o.path, unnest(list_transform(regexp_extract_all(o.text, '"[^"]+"|''[^'']+'''), lambda q: q[2:-2])) as name from own o join lists on lists.path = o.path and o.line between a and b),
+  words as (select path, unnest(list_distinct(regexp_extract_all(split_part(text, '#', 1), '\w+'))) as name, line from own where t <> '' and not regexp_matches(t, '^(#|import |from )')),
+  used as (select path, name, max(line) as last from words group by 1, 2)
+  select path, n.line, name from names n anti join exports using (path, name) left join used using (path, name) where last is null or last <= n.line""")
+def unused_bindings(spark: SparkSession, d: str) -> DataFrame:
+    """Names that Python imports bind outside guards, that nothing exports or uses later."""
+    return python_imports.unused(rel.script_lines(spark, d))

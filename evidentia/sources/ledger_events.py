@@ -47,17 +47,17 @@ def ledger_events_sql(events: str, div: str, sha: str) -> str:
         _status("'lane'", """if(f = 20, ',"reason":"x"', '')"""),
         """'{"change_id":"c' || if(f = 21, 'x', '') || c || '"}'""",
         _status("if(f = 22, 'verified', 'verifying')"),
-        f"""'{{"change":"c' || c || '","base_tree":"t' || if(f = 23, 'x', '') || c || '","ruleset_hash":"' || {rules} || '","realized":[]}}'""",
+        f"""'{{"change":"c' || c || '","base_tree":"t' || if(f = 23, 'x', '') || c || '","result_tree":"r' || c || '","ruleset_hash":"' || {rules} || '","realized":[]}}'""",
         _status("if(f = 24, 'discarded', 'verified')"),
         _closed("'retained'", "if(f = 25, '', 'kept')"),
         _status("'landed'", """',"reason":"done"'"""),
         _closed("if(f = 28, 'retained', 'removed')", "'gone'"),
-        _decision(f"if(f = 29, {one}, {both})"),
+        f"""if(c % 4 = 0, {_decision(f"if(f = 29, {one}, {both})")}, '{{"change_id":"c' || c || '"}}')""",
     ]
     kind = " ".join(f"when p = {k} then '{v}'" for k, v in enumerate(_KINDS))
     payload = " ".join(f"when p = {k} then {v}" for k, v in enumerate(payloads))
     return f"""select if(c % 3 = 0, 'main', 'side' || (c {div} 60)) as ledger, event_id + 1 as seq,
-    case when p = 4 and f = 12 then 'mystery' when p = 12 and f = 27 then 'attempt_logged' {kind} end as kind, case {payload} end as payload
+    case when p = 4 and f = 12 then 'mystery' when p = 12 and f = 27 then 'attempt_logged' when p = 15 and c % 4 > 0 then 'attempt_logged' {kind} end as kind, case {payload} end as payload
   from (select event_id, event_id {div} 16 as c, event_id % 16 as p, (event_id {div} 16) % 31 as f from {events})"""
 
 

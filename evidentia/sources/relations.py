@@ -218,6 +218,17 @@ SCRIPT_TEMPLATES = [
     "    # a note on part{k}",
     "    ",
     "done = run_{k}(part{k})",
+    "try:",
+    "except ImportError:",
+    "if TYPE_CHECKING:",
+    "    from lib import part{k}",
+    "__all__ = [",
+    "    'part{k}', \"deep{k}\",",
+    "]",
+    "from lib import run_{k} as deep{k}, (other{k})  # why",
+    "from lib import noisy{k}  # noqa",
+    "from __future__ import part{k}",
+    "other{k} = deep{k}  # part{k}",
 ]
 
 
