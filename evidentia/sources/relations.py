@@ -229,6 +229,8 @@ SCRIPT_TEMPLATES = [
     "from lib import noisy{k}  # noqa",
     "from __future__ import part{k}",
     "other{k} = deep{k}  # part{k}",
+    "console.log(part{k})",
+    "  console.warn(part{k})",
 ]
 
 
