@@ -7,7 +7,7 @@ GROUP pieces, so every task holds a bounded number of lengths whatever the corpu
 groups; each group is packed in decreasing length. A group's last open sequence is its only systematic loss, about one in
 several thousand. An item (length, 1, length**2) goes to the open sequence with room in all three
 capacities that has the least weighted norm of what is left ("norm"), or the largest weighted dot product of demand and
-room ("dot"). Sequences with the same token room form a level; the one with most document room, then most attention room, stands for it.
+room ("dot"); every open sequence is scored.
 
 The default document and attention capacities (the sequence length, its square) can't bind, so that as few sequences as
 possible are used; smaller ones may be given. The weights are equal by default, so all three residuals choose the sequence; on 16,384 pieces of
@@ -19,7 +19,6 @@ Null and empty texts are the single id 2. Repeated rows are packed each; an empt
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -53,41 +52,32 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = LENGTH, text_col: str =
 
 
 def best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every item."""
-    tokens, most_docs, most_cost = capacities
+    """Bin and offset of every item. All open sequences with room in every capacity are scored; of equal scores the one opened first is taken. A
+    sequence that can't take even the shortest item is closed, which bounds what is scored."""
     w = np.array(weights) / np.array(capacities, float) ** 2
-    levels: list[list[tuple[int, int, int]]] = [[] for _ in range(tokens + 1)]  # heaps of (-document room, -attention room, bin)
-    room_docs, room_cost = np.full(tokens + 1, -1, np.int64), np.full(tokens + 1, -1, np.int64)
-    at = np.arange(tokens + 1)
-    bins, offsets, opened = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
-
-    def stand(level: int) -> None:
-        heap = levels[level]
-        room_docs[level], room_cost[level] = (-heap[0][0], -heap[0][1]) if heap else (-1, -1)
-
+    tokens, docs, cost, bin_of = (np.zeros(len(lengths), np.int64) for _ in range(4))
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    least, opened, n_open = int(lengths.min(initial=0)), 0, 0
     for i in np.argsort(-lengths, kind="stable"):
         n = int(lengths[i])
-        docs, cost = room_docs[n:], room_cost[n:]
-        fits = (docs >= 1) & (cost >= n * n)
-        level = -1
-        if fits.any():
+        at = np.flatnonzero((tokens[:n_open] >= n) & (docs[:n_open] >= 1) & (cost[:n_open] >= n * n))
+        if len(at):
+            t, d, c = tokens[at], docs[at], cost[at]
             if rule == "norm":
-                score = w[0] * (at[n:] - n) ** 2.0 + w[1] * (docs - 1) ** 2.0 + w[2] * (cost - n * n) ** 2.0
+                score = w[0] * (t - n) ** 2.0 + w[1] * (d - 1) ** 2.0 + w[2] * (c - n * n) ** 2.0
             else:
-                score = -(w[0] * n * at[n:] + w[1] * docs + w[2] * float(n * n) * cost)
-            level = n + int(np.argmin(np.where(fits, score, np.inf)))
-        if level < 0:
-            left, bin_ = (tokens, most_docs, most_cost), opened
-            opened += 1
+                score = -(w[0] * n * t + w[1] * d + w[2] * float(n * n) * c)
+            k = int(at[np.argmin(score)])
         else:
-            d, c, bin_ = heapq.heappop(levels[level])
-            stand(level)
-            left = (level, -d, -c)
-        bins[i], offsets[i] = bin_, tokens - left[0]
-        new = left[0] - n
-        if new > 0:
-            heapq.heappush(levels[new], (-(left[1] - 1), -(left[2] - n * n), bin_))
-            stand(new)
+            k, n_open = n_open, n_open + 1
+            tokens[k], docs[k], cost[k] = capacities
+            bin_of[k], opened = opened, opened + 1
+        bins[i], offsets[i] = bin_of[k], capacities[0] - tokens[k]
+        tokens[k], docs[k], cost[k] = tokens[k] - n, docs[k] - 1, cost[k] - n * n
+        if tokens[k] < least or docs[k] < 1 or cost[k] < least * least:
+            for room in (tokens, docs, cost, bin_of):
+                room[k : n_open - 1] = room[k + 1 : n_open]
+            n_open -= 1
     return bins, offsets
 
 

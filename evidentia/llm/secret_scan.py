@@ -8,10 +8,11 @@ Entropy kinds: a candidate is a run of 20 or more of `A-Za-z0-9+/_=-` with a let
 holds it: hexadecimal, alphanumeric or base64, with a least entropy in bits of 3.0, 3.5, 3.7. A window of 20 characters slides over it; the
 counts of characters follow by one addition and one removal a step, and with them sum(c log2 c), so that the window's
 entropy log2(20) - sum / 20 needs no recount. The span runs from the first to the last window at or above the limit. The allow-list
-suppresses entropy spans only: UUIDs, digit runs with separators, and candidates that say example, sample, dummy, placeholder, test
-or changeme, or hold 4 equal characters in a row.
+suppresses entropy spans only. The words example, sample, dummy, placeholder, test and changeme, where no letter or digit adjoins them, and 4 equal characters in a row
+end a candidate, so that the windows that overlap them go and the others stay; UUIDs and digit runs with separators go as a whole.
 
-Offsets are code points, ends exclusive. Positions come from the lengths of matches and of the gaps between them. Each row
+Offsets are code points, ends exclusive. Positions are prefix sums over the lengths of matches and of the gaps between them, taken in blocks of about the square root
+of their number, and the redacted text is put together from pieces once, so that a text with very many matches takes little more than its share. Each row
 is worked off by itself, without a shuffle. Null and empty texts have no spans; repeated rows are alike; an empty table gives an empty
 result; other columns, whatever their names, are kept by `redact` and ignored by `scan`.
 """
@@ -33,8 +34,13 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 LIMITS = {"entropy_hex": 3.0, "entropy_alnum": 3.5, "entropy_base64": 3.7}
-ALLOWED = r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9+/_=-]+$|example|sample|dummy|placeholder|test|changeme|(.)\1{3}"
-SPAN = "struct<start:int,kind:int,end:int>"
+ALLOWED = r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9+/_=-]+$"
+ALLOWED_WORDS = ("example", "sample", "dummy", "placeholder", "test", "changeme")
+#: Either is replaced by as many spaces before candidates are looked for.
+ALONE = r"(?i)(?<![A-Za-z0-9])(?:{})(?![A-Za-z0-9])"
+REPEATED = r"([A-Za-z0-9+/_=-])\1{3}"
+#: shift: bytes less code points before the start; a span itself is ASCII.
+SPAN = "struct<start:int,kind:int,end:int,shift:int>"
 EPSILON = 1e-9
 
 
@@ -42,19 +48,34 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with the value under a name, worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _prefix(values: str, op: str) -> str:
+    """Inclusive prefixes of an int array under `+` or `greatest`: within blocks, then with what the blocks before carry over. Appending to an
+    array copies it, so blocks of the square root of the number of values keep that small."""
+    join = "({} + {})" if op == "+" else "greatest({}, {})"
+    last = lambda acc: f"coalesce(try_element_at({acc}, -1), 0)"
+    block = f"aggregate(slice(v, i * n + 1, n), cast(array() as array<int>), (acc, x) -> concat(acc, array({join.format(last('acc'), 'x')})))"
+    carried = f"aggregate(blocks, array(0), (acc, b) -> concat(acc, array({join.format('element_at(acc, -1)', 'element_at(b, -1)')})))"
+    moved = f"flatten(zip_with(blocks, slice({carried}, 1, size(blocks)), (b, c) -> transform(b, x -> {join.format('x', 'c')})))"
+    cut = f"transform(sequence(0, cast(ceil(size(v) / n) as int) - 1), i -> {block})"
+    return _let(values, "v", f"if(size(v) = 0, v, {_let('cast(ceil(sqrt(size(v))) as int)', 'n', _let(cut, 'blocks', moved))})")
+
+
 def _spans(kind: str, pattern: str, text: str, least: int = 0, group: int = 0) -> str:
-    """Spans of one kind: matches and the gaps before them are folded into positions. SQL, as lambdas nest."""
+    """Spans of one kind: matches and the gaps before them become positions. SQL, as lambdas nest."""
     p = _quoted(pattern)
     whole, part = (f"regexp_extract_all({text}, {p}, {g})" for g in (0, group))
-    fold = f"""aggregate(
-        arrays_zip(slice(split({text}, {p}, -1), 1, size({whole})), {whole}, {part}),
-        named_struct('at', 0, 'spans', cast(array() as array<{SPAN}>)),
-        (acc, x) -> named_struct(
-            'at', acc.at + length(x.`0`) + length(x.`1`),
-            'spans', if(length(x.`2`) >= {least}, concat(acc.spans, array(named_struct(
-                'start', acc.at + length(x.`0`), 'kind', {KINDS.index(kind)}, 'end', acc.at + length(x.`0`) + length(x.`1`)))), acc.spans)),
-        acc -> acc.spans)"""
-    return f"if({text} rlike {p}, {fold}, cast(array() as array<{SPAN}>))"
+    pairs = _let(whole, "m", f"zip_with(slice(split({text}, {p}, -1), 1, size(m)), m, (g, w) -> named_struct('gap', g, 'whole', w))")
+    parts = f"zip_with({pairs}, {part}, (x, v) -> named_struct('gap', x.gap, 'size', length(x.whole), 'value', length(v)))"
+    ends = _prefix("transform(found, x -> length(x.gap) + x.size)", "+")
+    shifts = _prefix("transform(found, x -> octet_length(x.gap) - length(x.gap))", "+")
+    span = f"named_struct('start', y.end - y.size, 'kind', {KINDS.index(kind)}, 'end', y.end, 'shift', h)"
+    placed = f"zip_with(zip_with(found, {ends}, (x, e) -> named_struct('size', x.size, 'value', x.value, 'end', e)), {shifts}, (y, h) -> if(y.value >= {least}, {span}, null))"
+    return f"if({text} rlike {p}, filter({_let(parts, 'found', placed)}, s -> s is not null), cast(array() as array<{SPAN}>))"
 
 
 def _entropy(word: str) -> str:
@@ -78,37 +99,47 @@ def _entropy(word: str) -> str:
         (acc, i) -> {ended}, acc -> named_struct('first', acc.first, 'last', acc.last))"""
 
 
+def _masked(text: str) -> str:
+    """The text with allow-listed words and runs as spaces."""
+    alone = lambda *w: _quoted(ALONE.format("|".join(w)))
+    out = f"regexp_replace({text}, {_quoted(REPEATED)}, '    ')"
+    for word in ALLOWED_WORDS:
+        out = f"regexp_replace({out}, {alone(word)}, '{' ' * len(word)}')"
+    return f"if({text} rlike {alone(*ALLOWED_WORDS)} or {text} rlike {_quoted(REPEATED)}, {out}, {text})"
+
+
 def spans(text: str) -> list[tuple[str, str]]:
     """(name, expression) of the columns to add in turn; the last, `_spans`, has all spans of the text column, sorted."""
-    found = f"regexp_extract_all({text}, {_quoted(CANDIDATE)}, 0)"
+    found = f"regexp_extract_all(_masked, {_quoted(CANDIDATE)}, 0)"
     kind = f"case when w rlike '^[0-9a-fA-F]+$' then {KINDS.index('entropy_hex')} when w rlike '^[0-9a-zA-Z]+$' then {KINDS.index('entropy_alnum')} else {KINDS.index('entropy_base64')} end"
     suspect = f"w rlike '[A-Za-z]' and w rlike '[0-9]' and not w rlike {_quoted(ALLOWED)}"
     words = f"transform({found}, w -> if({suspect}, named_struct('kind', {kind}, 'chars', split(w, '')), null))"
-    placed = _spans("entropy_hex", CANDIDATE, text)  # the candidates' positions; kinds follow
+    placed = _spans("entropy_hex", CANDIDATE, "_masked")  # the candidates' positions; kinds follow
     return [
         ("_base", f"concat({_spans('assign', ASSIGN, text, 12, 1)}, {_spans('access', ACCESS, text)}, {_spans('hex', HEX, text)})"),
-        ("_words", f"if({text} rlike {_quoted(CANDIDATE)}, {words}, null)"),
+        ("_masked", f"if({text} rlike {_quoted(CANDIDATE)}, {_masked(text)}, '')"),
+        ("_words", f"if(_masked rlike {_quoted(CANDIDATE)}, {words}, null)"),
         ("_some", "exists(_words, w -> w is not null)"),
         ("_places", f"if(_some, {placed}, null)"),
         ("_windows", f"if(_some, transform(_words, w -> if(w is null, null, {_entropy('w')})), null)"),
         (
             "_more",
             f"""if(_some, transform(filter(arrays_zip(_places, _words, _windows), x -> x._windows.last > 0),
-                x -> named_struct('start', x._places.start + x._windows.first - {WINDOW}, 'kind', x._words.kind, 'end', x._places.start + x._windows.last)), cast(array() as array<{SPAN}>))""",
+                x -> named_struct('start', x._places.start + x._windows.first - {WINDOW}, 'kind', x._words.kind, 'end', x._places.start + x._windows.last, 'shift', x._places.shift)), cast(array() as array<{SPAN}>))""",
         ),
         ("_base", "array_sort(_base)"),
         ("_spans", f"array_sort(concat(_base, coalesce(_more, cast(array() as array<{SPAN}>))))"),
     ]
 
 
-HELPERS = ("_base", "_words", "_some", "_places", "_windows", "_more", "_spans")
+HELPERS = ("_base", "_masked", "_words", "_some", "_places", "_windows", "_more", "_spans")
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with _base and _spans: arrays of (start, kind number, end)."""
     for name, expression in spans(text_col):
         docs = docs.withColumn(name, F.expr(expression))
-    return docs.drop("_words", "_some", "_places", "_windows", "_more")
+    return docs.drop("_masked", "_words", "_some", "_places", "_windows", "_more")
 
 
 def _told(spans_col: str) -> F.Column:
@@ -119,9 +150,10 @@ def _told(spans_col: str) -> F.Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by a mark; overlapping spans share one. A null text stays null."""
     found = scan(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")))
-    folded = f"""aggregate(_spans, named_struct('out', '', 'at', 0), (acc, s) -> named_struct(
-        'out', if(s.start >= acc.at, concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), '{mark}'), acc.out),
-        'at', greatest(acc.at, s.end)), acc -> concat(acc.out, substring(text, acc.at + 1)))"""
+    # a span is replaced unless it begins inside one before it; offsets in bytes make each piece a copy of its own length
+    at, ends = "if(i = 0, 0, element_at(ends, i))", _prefix("transform(_spans, s -> s.end + s.shift)", "greatest")
+    piece = f"if(s.start + s.shift >= {at}, concat(decode(substring(raw, {at} + 1, s.start + s.shift - {at}), 'UTF-8'), '{mark}'), '')"
+    folded = _let(ends, "ends", _let("cast(text as binary)", "raw", f"concat(array_join(transform(_spans, (s, i) -> {piece}), ''), decode(substring(raw, element_at(ends, -1) + 1), 'UTF-8'))"))
     left = F.expr(f"if(size(_spans) > 0, {folded}, text)")
     return found.select(*(left.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -22,11 +23,15 @@ TEXTS = [
     "key aZ3kQ9xV7bN1mC5tR8wY2pL6sD4f and example aZ3kQ9xV7bN1mC5example and 550e8400-e29b-41d4-a716-446655440000",
     "prefixprefixprefixprefix1aZ3kQ9xV7bN1mC5tR8wY2pL6sD4fsuffixsuffixsuffix", "0123456789+/0123456789+/ 4111111111111111111111111",
     "f3a91c07be52d846" * 3 + " " + "ab1" * 30, "+/aZ3kQ9xV7bN1mC5tR8wY2pL6=", "\n\n  \tsecret:x9\n", "q1w2e3r4t5y6u7i8o9p0" * 3000, "secret=" + "A" * 70000, "token" + " " * 30000 + "x",
+    "latest/Zx8Kq2Lm9Pv4Tn7Wc3Rb6Yd1Hs5 contest-Zx8Kq2Lm9Pv4Tn7Wc3Rb6Yd1Hs5 a1====Zx8Kq2Lm9Pv4Tn7Wc3Rb6Yd1Hs5", "é test/Zx8Kq2Lm9Pv4Tn7Wc3Rb6Yd1Hs5 Zx8Kq2Lm9Pv4Tn7-EXAMPLE-Wc3Rb6Yd1Hs5Lm9Pv4Tn7x",
+    "é password=hunter2hunter2 日本語 token: deadbeefdeadbeef0123 ", "token=abcdefghijkl😀 deadbeefdeadbeef " * 700,
 ]
 
 
 def entropy_spans(text):
     out = []
+    text = re.sub(r"([A-Za-z0-9+/_=-])\1{3}", "    ", text)
+    text = re.sub("(?i)(?<![A-Za-z0-9])(?:" + "|".join(secret_scan.ALLOWED_WORDS) + ")(?![A-Za-z0-9])", lambda m: " " * len(m[0]), text)
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         w = m[0]
         if not (re.search("[A-Za-z]", w) and re.search("[0-9]", w)) or re.search(secret_scan.ALLOWED, w):
@@ -64,6 +69,26 @@ def test_secrets(spark, odd):
     assert sum(r.n_entropy for r in got) > 3
 
 
+def test_adjoining_words_hide_nothing(spark):
+    """`latest/` is no allow-listed word, `test/` is one and takes only the windows that overlap it."""
+    token = "Zx8Kq2Lm9Pv4Tn7Wc3Rb6Yd1Hs5"
+    rows = [(f"{a}{token}", len(a)) for a in ("latest/", "test/", "contest-", "a1====", "-----", "testtest ", "example=")]
+    for r in secret_scan.query(spark.createDataFrame(rows, "text string, doc_id long")).collect():
+        first, last = (int(x) for x in r.spans.split(",")[-1].split(":")[1:])
+        assert first <= r.doc_id and last == r.doc_id + len(token)
+
+
+def test_very_many_matches(spark):
+    text = "".join(f"token={k:012x} deadbeefdeadbeef{k:04x} \n" for k in range(16000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = secret_scan.query(docs).first()
+    out = secret_scan.redact(docs).first().text
+    took = time.time() - began
+    assert (row.n_assign, row.n_hex) == (16000, 16000) and out == "[SECRET] [SECRET] \n" * 16000
+    assert took < 40  # appended one by one, the spans of such a text took minutes
+
+
 def test_redact(spark, odd):
     for r in secret_scan.redact(odd.withColumn("was", odd.text).withColumn("_spans", odd.doc_id).withColumn("row", odd.doc_id)).collect():
         if r.was is None:

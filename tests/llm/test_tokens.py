@@ -12,6 +12,7 @@ from evidentia.llm.tokenizers_public import default_path, encoder
 
 SMALL = "/root/testdata/sf0.001"
 RANKS = default_path("byte_bpe_50k.tiktoken")
+JSON_FORM = default_path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a", "  two  spaces\n\n\t end ", "don't we'll", "x" * 3000, "é😀 日本語 ١٢٣   　z", "\x00\x01▁_ <|endoftext|>", "=" * 999 + "12345 " * 700, "ab" * 2000, "İıſK…", "w " * 1023, "w " * 1024]
 
 
@@ -83,6 +84,49 @@ def test_capacities(spark, rule):
         best_fit_packing.pack(parts, 100, 4, 5000).collect()
 
 
+def brute_fit(lengths, capacities, weights, rule):
+    """Every item, longest first, into the open sequence of least score among all that have room."""
+    w = [x / c**2 for x, c in zip(weights, capacities, strict=True)]
+    rooms, out = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        n = int(lengths[i])
+        need = (n, 1, n * n)
+        fits = [b for b, room in enumerate(rooms) if all(r >= x for r, x in zip(room, need, strict=True))]
+        score = lambda b: sum(v * (r - x) ** 2 for v, r, x in zip(w, rooms[b], need, strict=True)) if rule == "norm" else -sum(v * r * x for v, r, x in zip(w, rooms[b], need, strict=True))  # noqa: B023, E731
+        if not fits:
+            rooms.append(list(capacities))
+            fits = [len(rooms) - 1]
+        out[i] = min(fits, key=lambda b: (round(score(b), 9), b))
+        rooms[out[i]] = [r - x for r, x in zip(rooms[out[i]], need, strict=True)]
+    return out, len(rooms)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_looks_at_every_open_sequence(rule):
+    rng = np.random.default_rng(2)
+    cases = [(np.array([2, 4, 2, 1, 3, 6, 4, 5, 10, 7, 9]), (20, 4, 127))]
+    cases += [(rng.integers(1, 11, rng.integers(1, 40)), (20, int(rng.integers(2, 7)), int(rng.integers(100, 260)))) for _ in range(400)]
+    for lengths, capacities in cases:
+        weights = tuple(rng.choice([0.0, 0.5, 1.0], 3)) if rng.random() < 0.5 else (1.0, 1.0, 1.0)
+        bins, _ = best_fit_packing.best_fit(lengths, capacities, weights, rule)
+        want, opened = brute_fit(lengths, capacities, weights, rule)
+        assert bins.tolist() == want and bins.max() + 1 == opened
+
+
+CLASHES = "doc_id long, text string, piece string, length string, start int, ids string, dealt int, n_tokens string"
+
+
+def test_null_ids_and_other_columns(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (5, "x" * 40000), (5, "x" * 40000), (6, "")]
+    docs = spark.createDataFrame([(*r, "a", "b", 1, "c", 2, "d") for r in rows], CLASHES)
+    parts = best_fit_packing.query(docs, RANKS, JSON_FORM).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in parts if r.doc_id != 5) == [(0, 0, 1), (0, 0, 4), (0, 0, 4), (6, 0, 1)]
+    assert len({(r.sequence_id, r.offset) for r in parts}) == len(parts) and len({r.ids_crc32 for r in parts if r.length == 4}) == 1
+    encoded = byte_bpe.query(docs, RANKS).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in encoded if r.doc_id != 5) == [(0, 0), (0, 3), (0, 3), (6, 0)]
+    assert len(encoded) == len(rows) and all(r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(sorted((r for r in encoded if r.doc_id == 5), key=str), ["x" * 40000] * 2, strict=True))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert byte_bpe.query(none, RANKS).count() == 0
