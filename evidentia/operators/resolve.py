@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text
+from evidentia.operators.asof import sum_before
 
 #: Fixed values, in the order in which a project is tested for them: (language, extensions, depth, large-file lines, complexity threshold, marker files; `*` stands for a name before an extension).
 LANGUAGES = [
@@ -143,8 +144,9 @@ def collapsed(ranked: DataFrame, members: DataFrame) -> DataFrame:
 
 def decayed(events: DataFrame, most: int = 3) -> DataFrame:
     """events (reminder, seq): each with its count so far; from the fourth on it is suppressed."""
-    n = F.row_number().over(Window.partitionBy("reminder").orderBy("seq"))
-    return events.select("reminder", "seq", F.least(n, F.lit(most)).alias("count"), (n > most).alias("suppressed"))
+    counted = sum_before(events.select("reminder", "seq", F.lit(1).alias("one")), ["reminder"], "one", "n")  # by ranges of seq
+    n = F.col("n") + 1
+    return counted.select("reminder", "seq", F.least(n, F.lit(most)).cast("int").alias("count"), (n > most).alias("suppressed"))
 
 
 def priorities(decisions: DataFrame) -> DataFrame:
@@ -185,9 +187,13 @@ def similar_bodies(functions: DataFrame, least_lines: int = 15, similarity: floa
 
 
 def _lcs(x: list[str], y: list[str]) -> int:
-    row = [0] * (len(y) + 1)
-    for a in x:
-        last = 0
-        for j, b in enumerate(y, 1):
-            last, row[j] = row[j], last + 1 if a == b else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, all places of x at once as the bits of one number: a zero is a place that a subsequence uses."""
+    where: dict[str, int] = {}
+    for i, line in enumerate(x):
+        where[line] = where.get(line, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    free = full
+    for line in y:
+        met = free & where.get(line, 0)
+        free = (free + met | free - met) & full
+    return len(x) - free.bit_count()

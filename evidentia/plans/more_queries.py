@@ -38,14 +38,14 @@ def potential_adjusted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("assessments review_findings", """, f as (select * from review_findings qualify row_number() over (partition by identifier order by batch, turn) = 1),
   p as (select dimension, count(*) as k, sum(case confidence when 'high' then 120 when 'medium' then 100 else 75 end * case impact_scope when 'codebase' then 20 when 'module' then 13 else 10 end
-    * case fix_scope when 'architectural_change' then 17 when 'multi_file_refactor' then 13 else 10 end)::bigint as s from f where turn < 1 and confidence = 'high' group by 1),
+    * case fix_scope when 'architectural_change' then 17 when 'multi_file_refactor' then 13 else 10 end)::bigint as s from f group by 1),
   a as (select dimension, count(*) as n, sum(score) as total, min(score) as least from assessments group by 1),
   j as (select dimension, total / n as mean, least, coalesce(s, 0) / 10000::double as p, greatest(coalesce(k, 0) - 1, 0) as more from a left join p using (dimension)),
   b as (select dimension, 0.7::double * mean + 0.3::double * least - least(2.2::double * p + 0.8::double * more, 24.0::double) as base, greatest(90.0::double - 3.5::double * p - 0.8::double * more, 60.0::double) as cap, p from j)
   select dimension, greatest(0.0::double, least(100.0::double, case when p > 0 then least(base, cap) else base end)) as score from b""")
 def review_dimension_score(spark: SparkSession, d: str) -> DataFrame:
     """0.7 mean + 0.3 least, less pressure 2.2 p + 0.8 (n - 1) up to 24, under a cap that sinks with the pressure."""
-    found = review.severity(review.first_by_identifier(rel.review_findings(spark, d)).where("turn < 1 and confidence = 'high'"))
+    found = review.severity(review.first_by_identifier(rel.review_findings(spark, d)))
     per = found.groupBy("dimension").agg(F.count("*").alias("k"), F.sum("severity").alias("s"))
     own = rel.assessments(spark, d).groupBy("dimension").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.min("score").alias("least"))
     p, more = F.coalesce("s", F.lit(0)) / 10000, F.greatest(F.coalesce("k", F.lit(0)) - 1, F.lit(0))
@@ -98,15 +98,17 @@ def exclude_merge(spark: SparkSession, d: str) -> DataFrame:
     return rel.table(spark, d, "orders").groupBy(F.concat(F.lit("p"), F.col("o_custkey") % 200).alias("pattern")).agg(F.min("o_orderkey").alias("place"))
 
 
-@query("files", """, s as (select split_part(path, '/', 1) as dir, path, length(content) as n from files), r as (select dir, path, n, sum(n) over (partition by dir order by n, path) as upto from s) select dir, count(*) as files, max(upto)::bigint as chars from r where upto <= 50000 group by 1""")
+@query("files", """, s as (select split_part(path, '/', 1) as dir, path, coalesce(length(content), 0) as n from files), r as (select dir, path, n, sum(n) over (partition by dir order by n, path) as upto from s) select dir, count(*) as files, max(upto)::bigint as chars from r where upto <= 50000 group by 1""")
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Per directory, the smallest files that together keep to 50,000 characters. A file has at least one character, so a directory's first
-    50,000 files by size are enough; each hash bucket of it keeps its own first before they meet."""
-    s = rel.files(spark, d).select(F.substring_index("path", "/", 1).alias("dir"), "path", F.length("content").cast("long").alias("n"))
+    """Per directory, the smallest files that together keep to 50,000 characters; a file without content has none. Empty files all fit and are only counted. Of the others, which have
+    at least one character each, a directory's first 50,000 are enough; each hash bucket of it keeps its own first before they meet."""
+    s = rel.files(spark, d).select(F.substring_index("path", "/", 1).alias("dir"), "path", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n"))
+    empty = s.where("n = 0").groupBy("dir").agg(F.count("*").alias("files"), F.lit(0).cast("long").alias("chars"))
     salted = Window.partitionBy("dir", F.pmod(F.xxhash64("path"), F.lit(64))).orderBy("n", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    some = s.withColumn("own", F.sum("n").over(salted)).where("own <= 50000").drop("own")
+    some = s.where("n > 0").withColumn("own", F.sum("n").over(salted)).where("own <= 50000").drop("own")
     upto = F.sum("n").over(Window.partitionBy("dir").orderBy("n", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return some.withColumn("upto", upto).where("upto <= 50000").groupBy("dir").agg(F.count("*").alias("files"), F.max("upto").alias("chars"))
+    full = some.withColumn("upto", upto).where("upto <= 50000").groupBy("dir").agg(F.count("*").alias("files"), F.max("upto").alias("chars"))
+    return empty.union(full).groupBy("dir").agg(F.sum("files").alias("files"), F.max("chars").alias("chars"))
 
 
 @query("code_lines", """, x as (select path, count(*) filter (text like 'router.%') as routes, count(*) filter (regexp_matches(text, '(?i)\\b(password|token|secret)\\b')) as auth from code_lines group by 1) select path, routes from x where routes > 0 and auth = 0""")

@@ -169,12 +169,12 @@ def review_feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("review_findings", """, f as (select * from review_findings qualify row_number() over (partition by identifier order by batch, turn) = 1),
-  s as (select 'review::c' || o_orderkey as id, case when o_orderkey % 3 = 0 then 'wontfix' else 'open' end as status, 'old' as summary from orders where o_orderkey % 2 = 0)
+  s as (select 'review::c' || o_orderkey as id, case when o_orderkey % 3 = 0 then 'wontfix' else 'open' end as status, 'old' as summary from orders)
   select coalesce(s.id, 'review::' || identifier) as id, coalesce(status, 'open') as status, case when s.id is null or (status = 'open' and identifier is not null) then dimension || ' ' || impact_scope else summary end as summary,
   case when s.id is null then 'inserted' when identifier is not null then 'seen' else 'absent' end as action from s full join f on s.id = 'review::' || identifier""")
 def review_import(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    state = rel.table(spark, d, "orders").where(k % 2 == 0).select(F.concat(F.lit("review::c"), k).alias("id"), F.when(k % 3 == 0, "wontfix").otherwise("open").alias("status"), F.lit("old").alias("summary"))
+    state = rel.table(spark, d, "orders").select(F.concat(F.lit("review::c"), k).alias("id"), F.when(k % 3 == 0, "wontfix").otherwise("open").alias("status"), F.lit("old").alias("summary"))
     return review.imported(state, review.first_by_identifier(rel.review_findings(spark, d)))
 
 
