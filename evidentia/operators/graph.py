@@ -118,13 +118,14 @@ def _without_chains(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     steps, left = 1, inner.count()
     state = inner
     while left and steps < 2 * left:  # after `steps` steps each way; a cycle has been round by then
+        pending = reduce(DataFrame.union, [state.join(names.withColumnRenamed("node", side), side, "left_semi").select("node") for side in ("first", "last")])
+        if pending.isEmpty():
+            break
         # each way jumps over the inner node that it points to
         back, ahead = state.select(F.col("node").alias("first"), F.col("first").alias("first2"), F.col("low").alias("low2")), state.select(F.col("node").alias("last"), F.col("last").alias("last2"))
         jumped = state.join(back, "first", "left").join(ahead, "last", "left")
         state = written(jumped.select("node", F.coalesce("first2", "first").alias("first"), F.coalesce("last2", "last").alias("last"), F.least("low", "low2").alias("low")))
         steps *= 2
-        if state.join(names.withColumnRenamed("node", "first"), "first", "left_semi").isEmpty() and state.join(names.withColumnRenamed("node", "last"), "last", "left_semi").isEmpty():
-            break
     ended = state.join(names.withColumnRenamed("node", "first"), "first", "left_anti").select("node", "first", "last")
     cycles = state.join(names.withColumnRenamed("node", "first"), "first", "left_semi").select("node", F.col("low").alias("comp"))
     outer = e.join(names.withColumnRenamed("node", "src"), "src", "left_anti").join(names.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
