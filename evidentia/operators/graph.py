@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from evidentia.functions import patterns, text
 from evidentia.sources.written import written
 
 
+#: Edges of a graph that one task can finish: a few MB.
+FINISH = 1 << 18
 #: Rounds of `clusters` that contract one hop only, which is all that most graphs need.
 HOPS = 2
 
@@ -67,19 +71,20 @@ def layer_violations(edges: DataFrame, paths: DataFrame, low: str, high: str) ->
     return out.where(F.col("src_path").startswith(low) & F.col("dst_path").startswith(high))
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, component, size) of the strongly connected components with more than one node; component is the least node.
 
     The graph is made small first, again and again: chains of nodes with one way in and one way out become one edge, by pointer doubling, and nodes
     without a way in or out are trimmed. A chain's nodes are in the component of its ends if that is one component, else in none. Of what is
     left, each round spreads, forward and then backward inside equal forward labels, the first label (in an order of hashes) that reaches a node; a node whose label is its root's
-    and that reaches the root back is in the root's component, which is taken out. Every step is a join and a partial minimum.
+    and that reaches the root back is in the root's component, which is taken out. Every step is a join and a partial minimum. A rest of at most `finish` edges, as counted,
+    is small enough for one task, which saves the rounds that it would take.
     """
     e = written(edges.select("src", "dst").where("src <> dst").distinct())
     found: list[DataFrame] = []  # (node, comp) of components that are done
     chains: list[DataFrame] = []  # (node, first, last) in the order of contraction
     size = e.count()
-    while size:
+    while size > finish:
         e, chain, cycles = _without_chains(e)
         found.append(cycles)
         chains.append(chain)
@@ -91,6 +96,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
             gone = members.select("node")
             e = written(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
             size = e.count()
+    if size:
+        kind = e.schema["src"].dataType.simpleString()
+        found.append(written(e.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_local_components, f"node {kind}, comp {kind}")))
     if not found:
         return e.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
     comps = reduce(DataFrame.union, found)
@@ -104,6 +112,41 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return comps.join(names, "comp").select("node", "component", "size")
 
 
+def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, comp) of a small graph: a first search orders the nodes by when it leaves them, a second one goes back along edges in that order."""
+    names, ends = np.unique(edges[["src", "dst"]].to_numpy().reshape(-1), return_inverse=True)
+    src, dst = ends.reshape(-1, 2).T
+    ways = []
+    for a, b in ((src, dst), (dst, src)):
+        order = np.argsort(a, kind="stable")
+        ways.append((np.searchsorted(a[order], np.arange(len(names) + 1)).tolist(), b[order].tolist()))
+
+    def search(start: int, way: tuple[list[int], list[int]], seen: list[bool]) -> list[int]:
+        """The nodes that it reaches anew, in the order in which it leaves them."""
+        first, to = way
+        seen[start], left, path = True, [], [(start, first[start])]
+        while path:
+            node, at = path.pop()
+            while at < first[node + 1] and seen[to[at]]:
+                at += 1
+            if at == first[node + 1]:
+                left.append(node)
+            else:
+                path += [(node, at + 1), (to[at], first[to[at]])]
+                seen[to[at]] = True
+        return left
+
+    seen, order = [False] * len(names), []
+    for node in range(len(names)):
+        if not seen[node]:
+            order += search(node, ways[0], seen)
+    seen, comp = [False] * len(names), np.zeros(len(names), np.int64)
+    for node in reversed(order):
+        if not seen[node]:
+            comp[search(node, ways[1], seen)] = node
+    return pd.DataFrame({"node": names, "comp": names[comp]})
+
+
 def _trimmed(e: DataFrame) -> DataFrame:
     """Edges from nodes with a way in to nodes with a way out."""
     return e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")

@@ -63,8 +63,8 @@ def brute(edges):
     return {(n, min(c), len(c)) for n, c in comps.items() if len(c) > 1}
 
 
-def components(spark, edges):
-    return {tuple(r) for r in graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+def components(spark, edges, finish=0):
+    return {tuple(r) for r in graph.strong_components(spark.createDataFrame(edges, "src long, dst long"), finish).collect()}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -72,14 +72,16 @@ def test_random_components(spark, seed):
     rng = random.Random(seed)
     n = [6, 25, 60, 60][seed]
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(int(n * [1.5, 1.2, 1.1, 2][seed]))]
-    assert components(spark, edges) == brute(edges)
+    assert components(spark, edges) == components(spark, edges, 20) == components(spark, edges, 1000) == brute(edges)
 
 
 def test_small_components(spark):
     assert components(spark, []) == components(spark, [(1, 1), (1, 2), (2, 3)]) == set()
     assert components(spark, [(0, 1), (1, 0), (1, 1)]) == {(0, 0, 2), (1, 0, 2)}
     eight = [(9, 1), (1, 2), (2, 9), (9, 3), (3, 4), (4, 9), (4, 7), (7, 8)]
-    assert components(spark, eight) == brute(eight)
+    assert components(spark, eight) == components(spark, eight, 100) == brute(eight)
+    named = spark.createDataFrame([("b", "a"), ("a", "b"), ("b", "c")], "src string, dst string")
+    assert {tuple(r) for r in graph.strong_components(named).collect()} == {("a", "a", 2), ("b", "a", 2)}
 
 
 def test_long_chains(spark):
@@ -87,5 +89,4 @@ def test_long_chains(spark):
     ring = list(range(10000))
     random.Random(1).shuffle(ring)
     edges = [*zip(ring, ring[1:] + ring[:1], strict=True)] + [(20000 + k, 20001 + k) for k in range(2000)] + [(22000, ring[0]), (ring[5], 30000)] + [(30000 + k, 30001 + k) for k in range(2000)]
-    got = components(spark, edges)
-    assert got == {(n, 0, 10000) for n in range(10000)}
+    assert components(spark, edges) == components(spark, edges, 1 << 20) == {(n, 0, 10000) for n in range(10000)}
