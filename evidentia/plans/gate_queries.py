@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import hashes
+from evidentia.functions import hashes, jsonpatch
 from evidentia.operators import gates, path_rules
 from evidentia.plans.relation_sql import with_relations
 from evidentia.sources import relations as rel
@@ -133,3 +133,17 @@ _FNV = "list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(r
 def fnv_hashes(spark: SparkSession, d: str) -> DataFrame:
     names = rel.table(spark, d, "part").select(F.concat("p_name", "p_type", F.lit("é")).alias("name")).distinct()
     return names.union(spark.range(1).select(F.lit(""))).select("name", hashes.fnv1a64(F.col("name")).alias("hash"))
+
+
+_PATCHES = """['{"purpose":"' || event_type || '"}', '{"hash":"x","' || event_type || '":1}', '{"budget":{"attempts":1,"calls":2,"bytes":3}}', '{"budget":{"wall_secs":9},"zeal":1,"apex":2}', '[1]', '{}', '{"budget":7,"non_goals":[]}']"""
+
+
+@query("", f"""with p as (select event_id, {_PATCHES}[(event_id % 7 + 1)::int]::json as p from events), k as (select event_id, unnest(json_keys(p)) as key, p from p),
+  bad as (select event_id, key, key as field from k where key not in ('purpose', 'non_goals', 'allowed_paths', 'protected_paths', 'compatibility', 'verifier_commands', 'risk_ceiling', 'budget', 'hash')
+    union all select event_id, 'budget', 'budget.' || b from (select event_id, unnest(json_keys(p->'$.budget')) as b from k where key = 'budget') where b not in ('attempts', 'wall_secs', 'subprocesses'))
+  select event_id, case when json_type(p) <> 'OBJECT' then 'not an object' else f.field end as problem from p left join (select event_id, min(s).field as field from (select event_id, {{'key': key, 'field': field}} as s from bad) group by 1) f using (event_id)""")
+def patch_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of rule sets: those that name something unknown."""
+    kind = F.col("event_type")
+    texts = [F.concat(F.lit('{"purpose":"'), kind, F.lit('"}')), F.concat(F.lit('{"hash":"x","'), kind, F.lit('":1}')), F.lit('{"budget":{"attempts":1,"calls":2,"bytes":3}}'), F.lit('{"budget":{"wall_secs":9},"zeal":1,"apex":2}'), F.lit("[1]"), F.lit("{}"), F.lit('{"budget":7,"non_goals":[]}')]
+    return rel.table(spark, d, "events").select("event_id", jsonpatch.patch_problem(F.array(*texts)[(F.col("event_id") % 7).cast("int")]).alias("problem"))
