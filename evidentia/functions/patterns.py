@@ -96,3 +96,17 @@ def zone_of(path: Column, rules: list[tuple[str, list[str]]]) -> Column:
 
 def is_scored(zone: Column) -> Column:
     return ~F.coalesce(zone, F.lit("production")).isin(*UNSCORED)
+
+
+#: Detectors whose findings a zone skips; generated and vendored files skip all.
+SKIPPED = {
+    "test": ["coupling", "orphaned", "flat_dirs", "naming", "single_use", "facade", "cycles", "exports", "private_imports", "layer_violation", "responsibility_cohesion", "global_mutable_config", "dict_keys"],
+    "config": ["coupling", "orphaned", "flat_dirs", "naming", "single_use", "facade", "cycles", "exports", "smells", "react", "props", "uncalled_functions", "private_imports", "layer_violation", "responsibility_cohesion", "global_mutable_config", "dict_keys"],
+    "script": ["coupling", "orphaned", "flat_dirs", "naming", "single_use", "facade", "cycles", "exports", "private_imports", "layer_violation"],
+}
+
+
+def is_skipped(zone: Column, detector: Column) -> Column:
+    """Whether a zone skips a detector's findings; no zone is production, which skips none."""
+    listed = [(zone == z) & detector.isin(*names) for z, names in SKIPPED.items()]
+    return F.coalesce(reduce(lambda a, b: a | b, listed, zone.isin("generated", "vendor")), F.lit(False))

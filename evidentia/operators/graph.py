@@ -71,6 +71,20 @@ def layer_violations(edges: DataFrame, paths: DataFrame, low: str, high: str) ->
     return out.where(F.col("src_path").startswith(low) & F.col("dst_path").startswith(high))
 
 
+def tool_coupling(edges: DataFrame, paths: DataFrame, shared: str, tools: str) -> DataFrame:
+    """(src, dst, direction, source_tool, target_tool, violating) of the distinct edges that count as coupling between packages: from shared files to shared ones or to tools, which
+    violates; and between files of tools, where the importer lies in a tool's folder, which violates unless both lie in the same one. Prefixes end in a slash."""
+    at = lambda side: paths.select(F.col("node").alias(side), text.slashes(F.col("path")).alias(f"{side}_path"))
+    e = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst")
+    tool = lambda side: F.when(F.col(f"{side}_path").startswith(tools), F.split_part(F.substring(f"{side}_path", len(tools) + 1, 1 << 30), F.lit("/"), F.lit(1)))
+    e = e.withColumns({"from_tool": tool("src"), "to_tool": tool("dst")})
+    from_shared, to_shared = F.col("src_path").startswith(shared), F.col("dst_path").startswith(shared)
+    inside = F.contains(F.substring("src_path", len(tools) + 1, 1 << 30), F.lit("/")) & F.col("from_tool").isNotNull()
+    direction = F.when(from_shared & (to_shared | F.col("to_tool").isNotNull()), "shared").when(inside & F.col("to_tool").isNotNull(), "tools")
+    violating = F.when(direction == "shared", F.col("to_tool").isNotNull()).otherwise(F.col("from_tool") != F.col("to_tool"))
+    return e.select("src", "dst", direction.alias("direction"), F.when(direction == "tools", F.col("from_tool")).alias("source_tool"), F.col("to_tool").alias("target_tool"), violating.alias("violating")).where("direction is not null")
+
+
 def strong_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, component, size) of the strongly connected components with more than one node; component is the least node.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions import hashes, jsonpatch
-from evidentia.operators import gates, path_rules
+from evidentia.functions import hashes, jsonpatch, patterns
+from evidentia.operators import gates, graph, path_rules
+from evidentia.plans.code_queries import _PATHS, _paths
 from evidentia.plans.relation_sql import with_relations
 from evidentia.sources import relations as rel
 from evidentia.sources.ledger_events import ledger_events
@@ -147,3 +148,22 @@ def patch_problems(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     texts = [F.concat(F.lit('{"purpose":"'), kind, F.lit('"}')), F.concat(F.lit('{"hash":"x","'), kind, F.lit('":1}')), F.lit('{"budget":{"attempts":1,"calls":2,"bytes":3}}'), F.lit('{"budget":{"wall_secs":9},"zeal":1,"apex":2}'), F.lit("[1]"), F.lit("{}"), F.lit('{"budget":7,"non_goals":[]}')]
     return rel.table(spark, d, "events").select("event_id", jsonpatch.patch_problem(F.array(*texts)[(F.col("event_id") % 7).cast("int")]).alias("problem"))
+
+
+_SKIPS = """('test', ['coupling', 'orphaned', 'naming', 'cycles']), ('config', ['coupling', 'orphaned', 'naming', 'cycles', 'smells']), ('script', ['coupling', 'orphaned', 'naming', 'cycles'])"""
+
+
+# of the table's detectors
+@query("prev", f"select zone, detector, coalesce(zone in ('generated', 'vendor') or list_contains(names, detector), false) as skipped, count(*) as n from prev left join (values {_SKIPS}) v(z, names) on z = zone group by 1, 2, 3")
+def zone_skips(spark: SparkSession, d: str) -> DataFrame:
+    """Findings by zone and detector, and whether their zone skips them."""
+    f = rel.findings_prev(spark, d)
+    return f.groupBy("zone", "detector", patterns.is_skipped(F.col("zone"), F.col("detector")).alias("skipped")).agg(F.count("*").alias("n"))
+
+
+@query("edges", f""", {_PATHS}, x as (select distinct src, dst, a.path as p, b.path as q from edges join paths a on a.node = src join paths b on b.node = dst)
+  select src, dst, 'shared' as direction, null as source_tool, case when q like 'tools/%' then split_part(q, '/', 2) end as target_tool, q like 'tools/%' as violating from x where p like 'shared/%' and (q like 'shared/%' or q like 'tools/%')
+  union all select src, dst, 'tools', split_part(p, '/', 2), split_part(q, '/', 2), split_part(p, '/', 2) <> split_part(q, '/', 2) from x where p like 'tools/%/%' and q like 'tools/%'""")
+def tool_coupling(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from shared files and between tools, and which of them violate the boundaries."""
+    return graph.tool_coupling(rel.edges(spark, d), _paths(spark, d), "shared/", "tools/")

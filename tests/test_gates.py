@@ -8,8 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.functions import hashes
-from evidentia.operators import event_rules, gates, path_rules, python_imports, resolve
+from evidentia.functions import hashes, jsonpatch, patterns
+from evidentia.operators import event_rules, gates, graph, path_rules, python_imports, resolve
 
 
 def lines_of(spark, source, path="pkg/m.py"):
@@ -153,3 +153,22 @@ def test_fnv(spark):
     for b in "é".encode():
         h = (h ^ b) * 0x100000001B3 % 2**64
     assert got == known | {"é": f"{h:016x}"}
+
+
+def test_zone_skips(spark):
+    cases = {("test", "naming"): True, ("test", "smells"): False, ("config", "smells"): True, ("vendor", "security"): True, ("production", "cycles"): False, (None, "cycles"): False, ("script", "dict_keys"): False, ("generated", None): True}
+    got = spark.createDataFrame([*cases], "zone string, detector string").select("zone", "detector", patterns.is_skipped(F.col("zone"), F.col("detector")).alias("s")).collect()
+    assert {(r.zone, r.detector): r.s for r in got} == cases
+
+
+def test_tool_coupling(spark):
+    paths = {1: "shared/a.py", 2: "shared/b.py", 3: "tools/x/c.py", 4: "tools/y/d.py", 5: "tools/top.py", 6: "app/e.py", 7: "tools/x/f.py"}
+    edges = [(1, 2), (1, 3), (3, 4), (3, 7), (3, 5), (5, 3), (6, 3), (3, 1), (1, 3)]
+    found = graph.tool_coupling(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([*paths.items()], "node int, path string"), "shared/", "tools/")
+    assert {tuple(r) for r in found.collect()} == {(1, 2, "shared", None, None, False), (1, 3, "shared", None, "x", True), (3, 4, "tools", "x", "y", True), (3, 7, "tools", "x", "x", False), (3, 5, "tools", "x", "top.py", True)}
+
+
+def test_patches(spark):
+    cases = {"{}": None, "[1]": "not an object", '{"zeal":1,"apex":2}': "apex", '{"budget":{"calls":1},"apex":2}': "apex", '{"budget":{"calls":1,"bytes":2},"zeal":2}': "budget.bytes", '{"budget":3,"hash":null}': None, None: "not an object"}
+    got = spark.createDataFrame([(k,) for k in cases], "p string").select("p", jsonpatch.patch_problem(F.col("p")).alias("x")).collect()
+    assert {r.p: r.x for r in got} == cases
