@@ -1,4 +1,4 @@
-"""Many globs against many paths: each glob is looked up by a literal part of it, so that globs x paths is an equi-join and a test of what it finds."""
+"""Many globs against many paths: each glob is looked up by the literal part of it that the fewest globs share, so that globs x paths is an equi-join and a test of what it finds."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from evidentia.functions import text
 
 #: Globs without a literal part meet every path; the paths are dealt over so many salts.
 SALTS = 64
+#: Up to so many globs that share `by` are tested one by one, which is less than a path's own keys.
+FEW = 32
+#: A piece of a path or a literal (digits, or what is neither digit nor mark), and the most characters of it that are looked up.
+PIECE, WIDTH = r"([0-9]+|[^0-9/._*?\-]+)", 12
 #: Characters that a glob must not hold.
 UNSUPPORTED = r"[\[\]{}\\]"
 
@@ -23,30 +27,45 @@ def regex(glob: Column, spanning: bool = False) -> Column:
     return F.concat(F.lit("(?s)^"), F.replace(kept, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("$"))
 
 
-def _glob_key(glob: Column) -> Column:
-    """The folder before the first wildcard; without one, a literal base name, then a literal extension."""
+def _glob_keys(glob: Column) -> Column:
+    """What a path must have for the glob to match it: the folder before the first wildcard, a literal base name, a literal extension, and pieces of names."""
     folder = F.regexp_extract(glob, r"^([^*?]*/)", 1)
     base = F.regexp_extract(glob, r"^(?:.*/)?([^*?/]+)$", 1)
     whole = F.when(F.contains(glob, F.lit("/")) | ~glob.rlike(r"[*?]"), base).otherwise("")
     ext = F.regexp_extract(glob, r"(\.[^*?/.]+)$", 1)
-    return F.when(folder != "", F.concat(F.lit("d:"), folder)).when(whole != "", F.concat(F.lit("b:"), whole)).when(ext != "", F.concat(F.lit("e:"), ext)).otherwise("")
+    named = F.array(*(F.when(value != "", F.concat(F.lit(kind), value)) for kind, value in (("d:", folder), ("b:", whole), ("e:", ext))))
+    pieces = F.transform(F.regexp_extract_all(glob, F.lit(PIECE), F.lit(1)), lambda x: F.concat(F.lit("p:"), F.substring(x, 1, WIDTH)))
+    return F.array_distinct(F.concat(F.array_compact(named), pieces))
 
 
 def _path_keys(path: Column) -> Column:
+    """All keys by which a glob can find the path; of its pieces, every run of up to WIDTH characters."""
     folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     above = F.when(F.size(folders) > 0, F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.concat(F.lit("d:"), F.array_join(F.slice(folders, F.lit(1), n), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     ext = F.regexp_extract(path, r"(\.[^/.]+)$", 1)
-    return F.concat(above, F.array(F.concat(F.lit("b:"), text.basename(path)), F.concat(F.lit("e:"), ext), F.lit("")))
+    runs = lambda x: F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(WIDTH), F.length(x) - at + 1)), lambda n: F.concat(F.lit("p:"), x.substr(at, n)))))
+    pieces = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(path, F.lit(PIECE), F.lit(1))), runs))
+    return F.array_distinct(F.concat(above, F.array(F.concat(F.lit("b:"), text.basename(path)), F.concat(F.lit("e:"), ext), F.pmod(F.xxhash64(path), F.lit(SALTS)).cast("string")), pieces))
 
 
 def matches(paths: DataFrame, globs: DataFrame, by: list[str], spanning: bool = False) -> DataFrame:
-    """paths (by..., path) and globs (by..., glob) to distinct (by..., path, glob) that match."""
-    patterns = globs.select(*by, "glob").distinct().withColumns({"key": _glob_key(F.col("glob")), "regex": regex(F.col("glob"), spanning)})
-    salts = F.when(F.col("key") == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    indexed = patterns.withColumn("salt", F.explode(salts))
-    keyed = paths.select(*by, "path").distinct().withColumn("key", F.explode(_path_keys(F.col("path"))))
-    keyed = keyed.withColumn("salt", F.when(F.col("key") == "", F.pmod(F.xxhash64("path"), F.lit(SALTS))).otherwise(0).cast("int"))
-    return keyed.join(indexed, [*by, "key", "salt"]).where(F.expr("path rlike regex")).select(*by, "path", "glob")
+    """paths (by..., path) and globs (by..., glob) to distinct (by..., path, glob) that match.
+
+    A few globs to each of `by` are tested one by one. Of many, each is looked up by that key of it which the fewest globs have (of equals the longest): with c globs to a key, a path
+    meets at most c times its own keys, however many paths there are."""
+    patterns, own = globs.select(*by, "glob").distinct(), paths.select(*by, "path").distinct()
+    fits = F.expr("path rlike regex")
+    if by and (patterns.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW:
+        return own.join(patterns.withColumn("regex", regex(F.col("glob"), spanning)), by).where(fits).select(*by, "path", "glob")
+    keyed = patterns.select(*by, "glob", F.explode_outer(_glob_keys(F.col("glob"))).alias("key"))
+    shared = keyed.groupBy(*by, "key").agg(F.count("*").alias("globs"))
+    rarest = F.min_by("key", F.struct("globs", -F.length("key"), "key"))
+    chosen = keyed.where("key is not null").join(shared, [*by, "key"]).groupBy(*by, "glob").agg(rarest.alias("key"))
+    free = keyed.where("key is null").select(*by, "glob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<string>")).alias("key"))
+    indexed = chosen.unionByName(free).select(*by, "glob", F.xxhash64("key").alias("hash"), regex(F.col("glob"), spanning).alias("regex"))
+    hashes = F.array_distinct(F.transform(_path_keys(F.col("path")), lambda x: F.xxhash64(x)))
+    found = own.select(*by, "path", F.explode(hashes).alias("hash"))
+    return found.join(indexed, [*by, "hash"]).where(fits).select(*by, "path", "glob")
 
 
 def violations(paths: DataFrame, writes: DataFrame, protected: DataFrame, by: list[str]) -> DataFrame:

@@ -71,6 +71,19 @@ def test_globs(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def test_many_globs(spark, monkeypatch):
+    """Globs that are looked up by pieces: equal to testing each; none without a literal meets more than its share, and no piece that all share is a key."""
+    paths = [f"pkg{k % 3}/{'mod_' * (k % 2)}é{k * 37 % 211}x{k}.{'py' if k % 2 else 'go'}" for k in range(90)] + ["1", "", "a-b/.env", "m" * 30 + "7.ts", "pkg1/12"]
+    kinds = ["*{}*", "p*/mod_?{}*", "*_é{}?*.go", "**/*x{}.py", "pkg?/*{}.*", "{}", "*{}", "é*{}*x*", "pkg1/{}*", "?" * 12 + "{}*"]
+    globs = [g.format(k) for k in range(40) for g in kinds] + ["*", "**/", "?", "*-*", "m" * 14 + "*", "*" + "m" * 29 + "7*", "*.?s", ""]
+    monkeypatch.setattr(path_rules, "FEW", 0)
+    found = [(r.path, r.glob) for r in path_rules.matches(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(g,) for g in globs], "glob string"), []).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(p, g) for p in paths for g in globs if dp(p, g)}
+    names = spark.createDataFrame([(f"*{k}*",) for k in range(100, 140)], "glob string").select(F.explode(path_rules._glob_keys(F.col("glob"))))
+    assert names.distinct().count() == 40
+
+
 def test_write_sets(spark):
     paths = spark.createDataFrame([(1, "src/a.py"), (1, "src/x/b.py"), (1, "top.md"), (2, "src/a.py"), (3, "a/b")], "lane int, path string")
     writes = spark.createDataFrame([(1, "src/**"), (2, "docs/*"), (3, "a/**/b")], "lane int, glob string")
