@@ -63,11 +63,12 @@ def extension_counts(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select(text.extension(F.col("path")).alias("ext")).join(F.broadcast(known), "ext").groupBy("ext", "language").agg(F.count("*").alias("files"))
 
 
-def _first_known(imports: DataFrame, candidates: Column, files: DataFrame) -> DataFrame:
-    """The first candidate path that exists: one equi-join on candidates, the least place wins."""
-    tried = imports.select(*imports.columns, F.posexplode(candidates).alias("place", "target"))
+def _first_known(imports: DataFrame, keys: list[str], candidates: Column, files: DataFrame) -> DataFrame:
+    """The first candidate path that exists: one equi-join on candidates, the least place wins. Candidates follow from the keys, so each set of keys is tried once, however many
+    importers share it."""
+    tried = imports.select(*keys).distinct().select(*keys, F.posexplode(candidates).alias("place", "target"))
     hits = tried.join(files.select(F.col("path").alias("target")).distinct(), "target")
-    return hits.groupBy(*imports.columns).agg(F.min_by("target", "place").alias("target"))
+    return imports.join(hits.groupBy(*keys).agg(F.min_by("target", "place").alias("target")), keys).select(*imports.columns, "target")
 
 
 def resolve_absolute(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def resolve_absolute(imports: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("module", r"\.")
     prefixes = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
     both = F.flatten(F.transform(prefixes, lambda p: F.array(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")))))
-    return _first_known(imports, both, files)
+    return _first_known(imports.distinct(), ["module"], both, files)
 
 
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -85,8 +86,9 @@ def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     dirs = F.split("importer", "/")
     base = F.array_join(F.slice(dirs, F.lit(1), F.greatest(F.size(dirs) - dots, F.lit(0))), "/")
     at = F.when(base == "", "").otherwise(F.concat(base, F.lit("/")))
-    named = F.array(F.concat(at, tail, F.lit(".py")), F.concat(at, tail, F.lit("/__init__.py")))
-    return _first_known(imports, F.when(tail == "", F.array(F.concat(at, F.lit("__init__.py")))).otherwise(named), files)
+    named = F.array(F.concat("_at", "_tail", F.lit(".py")), F.concat("_at", "_tail", F.lit("/__init__.py")))
+    candidates = F.when(F.col("_tail") == "", F.array(F.concat("_at", F.lit("__init__.py")))).otherwise(named)
+    return _first_known(imports.distinct().withColumns({"_at": at, "_tail": tail}), ["_at", "_tail"], candidates, files).drop("_at", "_tail")
 
 
 def normalised(path: Column) -> Column:
@@ -105,7 +107,7 @@ def script_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (importer, module, folder): the path itself, then with .ts .tsx .js .jsx, then its index files."""
     joined = normalised(F.concat("folder", F.lit("/"), "module"))
     tails = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
-    return _first_known(imports, F.transform(F.array(*map(F.lit, tails)), lambda t: F.concat(joined, t)), files)
+    return _first_known(imports.distinct(), ["folder", "module"], F.transform(F.array(*map(F.lit, tails)), lambda t: F.concat(joined, t)), files)
 
 
 def resolve_script(imports: DataFrame, files: DataFrame) -> DataFrame:
