@@ -24,17 +24,18 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def metrics(edges: DataFrame) -> DataFrame:
-    """node, fan_in, fan_out (distinct neighbours), instability: out / (in + out), two decimals."""
+def metrics(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """node, fan_in, fan_out (distinct neighbours), instability: out / (in + out), two decimals. tasks: how many to deal the edges' ends over, where their number is known."""
     both = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("way")).union(edges.select("src", "dst", F.lit("out")))
-    counts = both.distinct().groupBy("node").agg(F.count(F.when(F.col("way") == "in", 1)).alias("fan_in"), F.count(F.when(F.col("way") == "out", 1)).alias("fan_out"))
+    dealt = both.repartition(tasks, "node", "other") if tasks else both
+    counts = dealt.distinct().groupBy("node").agg(F.count(F.when(F.col("way") == "in", 1)).alias("fan_in"), F.count(F.when(F.col("way") == "out", 1)).alias("fan_out"))
     total = F.col("fan_in") + F.col("fan_out")
     return counts.withColumn("instability", F.floor(100 * F.col("fan_out") / total + 0.5) / 100)
 
 
-def coupled(edges: DataFrame, least: int = 15, high: int = 30) -> DataFrame:
+def coupled(edges: DataFrame, least: int = 15, high: int = 30, tasks: int | None = None) -> DataFrame:
     total = F.col("fan_in") + F.col("fan_out")
-    return metrics(edges).where(total >= least).withColumn("confidence", F.when(total >= high, "high").otherwise("medium"))
+    return metrics(edges, tasks).where(total >= least).withColumn("confidence", F.when(total >= high, "high").otherwise("medium"))
 
 
 def without(edges: DataFrame, paths: DataFrame, exclude: list[str]) -> DataFrame:

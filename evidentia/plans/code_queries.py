@@ -208,12 +208,12 @@ _METRICS = "m as (select node, count(distinct other) filter (way = 'in') as fan_
 
 @query("edges", f", {_METRICS} select *, floor(100 * fan_out / (fan_in + fan_out) + 0.5) / 100 as instability from m")
 def coupling_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return graph.metrics(rel.edges(spark, d))
+    return graph.metrics(rel.edges(spark, d), tasks=2 * rel.tasks(spark, d, "lineitem"))
 
 
 @query("edges", f", {_METRICS} select *, floor(100 * fan_out / (fan_in + fan_out) + 0.5) / 100 as instability, case when fan_in + fan_out >= 30 then 'high' else 'medium' end as confidence from m where fan_in + fan_out >= 15")
 def coupling_detector(spark: SparkSession, d: str) -> DataFrame:
-    return graph.coupled(rel.edges(spark, d))
+    return graph.coupled(rel.edges(spark, d), tasks=2 * rel.tasks(spark, d, "lineitem"))
 
 
 @query("edges", f", {_PATHS}, k as (select node from paths where path not like '%shared/mod_1%') select * from edges where src in (select node from k) and dst in (select node from k)")

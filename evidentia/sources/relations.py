@@ -92,6 +92,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of a table to a task where rows are dealt by key: some 100 MB of sort and hash tables.
+DEALT = 500_000
+
+
+def tasks(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Tasks that a table's rows are dealt over: as many as its rows ask for, so that a task's share, and the memory it takes, does not grow with the table. The count is read from the
+    files' footers."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, name).count() // DEALT))
+
+
 def pick(values: list[str], place: Column) -> Column:
     """The value at a place counted from 0; null beyond the end."""
     return F.try_element_at(F.array(*map(F.lit, values)), (place + 1).cast("int"))
@@ -256,10 +266,11 @@ def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part of an order imports the part with the next key in it, over all of lineitem; every 500th order also imports back, which closes cycles."""
     own = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(own).alias("dst"))
+    n = tasks(spark, sf_dir, "lineitem")
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(own).alias("dst"))
     ways = F.when(F.col("l_orderkey") % 500 == 0, F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).otherwise(F.array(F.struct("src", "dst")))
     both = item.where("src <> dst").select(F.inline(ways))
-    return both.distinct().withColumn("deferred", (F.col("src") + F.col("dst")) % 9 == 0)
+    return both.repartition(n, "src", "dst").distinct().withColumn("deferred", (F.col("src") + F.col("dst")) % 9 == 0)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

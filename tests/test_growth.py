@@ -2,7 +2,10 @@
 
 import re
 
+from conftest import SMALL
+
 from evidentia.operators import resolve
+from evidentia.sources import relations as rel
 
 
 def optimised(df):
@@ -14,3 +17,10 @@ def test_modules_are_tried_once(spark):
     found = resolve.resolve_absolute(imports, spark.createDataFrame([("a/b.py",), ("a/c/__init__.py",)], "path string"))
     assert {tuple(r) for r in found.collect()} == {(f"x/{k}.py", m, t) for k in range(4) for m, t in (("a.b", "a/b.py"), ("a.c.d", "a/c/__init__.py"))}
     assert re.search(r"Aggregate \[module#\d+\], \[module#\d+\]", optimised(found))
+
+
+def test_edges_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(rel, "DEALT", 200)
+    rows = rel.table(spark, SMALL, "lineitem").count()
+    assert rel.tasks(spark, SMALL, "lineitem") == -(-rows // 200)
+    assert rel.edges(spark, SMALL).rdd.getNumPartitions() == -(-rows // 200)
