@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.import_edges import indent, trimmed
+from evidentia.operators.import_edges import indent
 
 #: The heads of classes and methods, and attributes.
 CLASS, METHOD, ATTRIBUTE = r"^(\s*)class\s+(\w+)", r"^\s+(?:async\s+)?def\s+(\w+)", r"self\.(\w+)"
+#: A line with text that is no comment.
+CODE = r"^\s*[^\s#]"
 
 
 def extents(lines: DataFrame) -> DataFrame:
     """(path, name, line, end): classes up to the next line of code that is indented no deeper, end exclusive; comments and blank lines end none. A class inside another one's
     extent is no class of its own. Only a file's classes meet its lines that are indented no deeper."""
-    marked = lines.select("path", "line", "text", trimmed(F.col("text")).alias("t"), indent(F.col("text")).alias("indent"))
-    heads = marked.where(F.col("text").rlike(CLASS)).select("path", "line", "indent", F.regexp_extract("text", CLASS, 2).alias("name"))
-    code = marked.where((F.col("t") != "") & ~F.col("t").startswith("#")).select("path", F.col("line").alias("at"), F.col("indent").alias("depth"))
+    heads = lines.where(F.col("text").rlike(CLASS)).select("path", "line", indent(F.col("text")).alias("indent"), F.regexp_extract("text", CLASS, 2).alias("name"))
+    code = lines.where(F.col("text").rlike(CODE)).select("path", F.col("line").alias("at"), indent(F.col("text")).alias("depth"))
     last = lines.groupBy("path").agg((F.max("line") + 1).alias("after"))
     stops = heads.join(code, "path").where("at > line and depth <= indent").groupBy("path", "line").agg(F.min("at").alias("stop"))
     whole = heads.join(stops, ["path", "line"], "left").join(last, "path").select("path", "line", "name", F.coalesce("stop", "after").alias("end"))
@@ -29,9 +30,8 @@ def members(lines: DataFrame) -> DataFrame:
     """(path, name, line, loc, methods, prefixes, attributes): of each class its lines, its methods (those of inner functions and classes too), the distinct first words of their names, `test`
     aside, and its distinct attributes."""
     own = extents(lines)
-    placed = lines.select("path", "line", "text").join(own.select("path", "line", F.struct("name", F.col("line").alias("start"), "end").alias("c")), ["path", "line"], "left")
-    upto = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = placed.withColumn("c", F.last("c", ignorenulls=True).over(upto)).where("c is not null and line < c.end")
+    placed = own.select("path", F.struct("name", F.col("line").alias("start"), "end").alias("c"))
+    inside = lines.select("path", "line", "text").join(placed, "path").where("line >= c.start and line < c.end")  # a file's classes are apart, so a line meets one at most
     body = F.col("line") > F.col("c.start")
     method = F.when(body & F.col("text").rlike(METHOD), F.regexp_extract("text", METHOD, 1))
     rows = inside.select("path", "c.name", F.col("c.start").alias("line"), (F.col("c.end") - F.col("c.start")).alias("loc"), method.alias("method"), F.when(body, F.regexp_extract_all("text", F.lit(ATTRIBUTE), F.lit(1))).alias("attributes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators import resolve
+from evidentia.sources.written import written
 
 #: The forms of imports of scripts (matched over the whole source) and of Python (matched over a trimmed line).
 SCRIPT_IMPORTS = [
@@ -62,6 +63,7 @@ def python_edges(lines: DataFrame, files: DataFrame) -> DataFrame:
     module = F.coalesce(*(F.nullif(F.regexp_extract("t", p, 1), F.lit("")) for p in (PYTHON_IMPORT, PYTHON_FROM)))
     plain = F.col("t").rlike(PYTHON_IMPORT)
     found = own.select(F.col("path").alias("importer"), module.alias("module"), (~plain & module.startswith(".")).alias("relative"), "deferred").where("module is not null")
+    found = written(found.groupBy("importer", "module", "relative").agg(F.max("deferred").alias("deferred")))
     pairs = found.select("importer", "module", "relative").distinct()
     known = resolve.resolve_relative(pairs.where("relative"), files).unionByName(resolve.resolve_absolute(pairs.where("not relative"), files))
     hits = found.join(known, ["importer", "module", "relative"])

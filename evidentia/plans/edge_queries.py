@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.operators import graph, import_edges
 from evidentia.plans.relation_sql import with_relations
 from evidentia.sources import relations as rel
+from evidentia.sources.written import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -44,21 +45,29 @@ _PYTHON = """, py as (select path, line, text, trim(text, ' ') as t, length(text
   python as materialized (select path as src, target as dst, max(deferred::int) = 1 as deferred from late join (select path, module, arg_min(target, place) as target from places join known using (target) group by 1, 2) using (path, module) group by 1, 2)"""
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = rel.script_lines(spark, d)
+def _scripts(lines: DataFrame) -> DataFrame:
     known = lines.select("path").distinct()
-    scripts = known.join(import_edges.sources(lines.where(F.col("path").rlike(r"\.tsx?$"))), "path", "left")
-    return import_edges.script_edges(scripts), import_edges.python_edges(lines.where("path like '%.py'"), known)
+    return import_edges.script_edges(known.join(import_edges.sources(lines.where(F.col("path").rlike(r"\.tsx?$"))), "path", "left"))
+
+
+def _python(lines: DataFrame) -> DataFrame:
+    return import_edges.python_edges(lines.where("path like '%.py'"), lines.select("path").distinct())
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds of edges, from lines that are numbered and written once."""
+    lines = written(rel.script_lines(spark, d))
+    return import_edges.graph(_scripts(lines), _python(lines))
 
 
 @query(f"{_SCRIPTS} select src, dst from scripts")
 def script_import_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d)[0]
+    return _scripts(written(rel.script_lines(spark, d)))
 
 
 @query(f"{_KNOWN}{_PYTHON} select src, dst, deferred from python")
 def python_import_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _parts(spark, d)[1]
+    return _python(written(rel.script_lines(spark, d)))
 
 
 _GRAPH = f"{_SCRIPTS}{_PYTHON}, g as materialized (select src, dst, false as deferred from scripts union all select src, dst, deferred from python)"
@@ -68,7 +77,7 @@ _GRAPH = f"{_SCRIPTS}{_PYTHON}, g as materialized (select src, dst, false as def
   select node, fan_in, fan_out, floor(100 * fan_out / (fan_in + fan_out) + 0.5) / 100 as instability from n""")
 def source_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Coupling of files by the imports in their texts."""
-    return graph.metrics(import_edges.graph(*_parts(spark, d)))
+    return graph.metrics(_graph(spark, d))
 
 
 @query(f"""{_GRAPH}, e as materialized (select distinct src, dst from g where not deferred and src <> dst), reach(a, b) as (select src, dst from e union select a, dst from reach join e on b = src),
@@ -76,4 +85,4 @@ def source_metrics(spark: SparkSession, d: str) -> DataFrame:
   select node, least as component, size from m where size > 1""", recursive=True)
 def source_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Import cycles among files; imports inside functions close none."""
-    return graph.strong_components(import_edges.graph(*_parts(spark, d)).where("not deferred").select("src", "dst"))
+    return graph.strong_components(_graph(spark, d).where("not deferred").select("src", "dst"))

@@ -9,6 +9,7 @@ from evidentia.operators import classes, import_edges, phases
 from evidentia.plans import code_queries, edge_queries, script_queries
 from evidentia.plans.relation_sql import CODE_LINES, SCRIPT_LINES, with_relations
 from evidentia.sources import relations as rel
+from evidentia.sources.written import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,11 +25,11 @@ ORACLES["class_members"] = with_relations("code_lines", _MEMBERS.format("code_li
 
 def class_members(spark: SparkSession, d: str) -> DataFrame:
     """Extents and members of the classes in all sources."""
-    return classes.members(rel.code_lines(spark, d))
+    return classes.members(written(rel.code_lines(spark, d)))
 
 
 def _scan(spark: SparkSession, d: str, kind: str) -> phases.Scan:
-    lines = rel.script_lines(spark, d).where(F.col("path").rlike(kind))
+    lines = written(rel.script_lines(spark, d).where(F.col("path").rlike(kind)))  # numbered once, read by every phase
     paths = lines.select("path").distinct()
     edges = import_edges.python_edges(lines, paths) if "py" in kind else import_edges.graph(import_edges.script_edges(paths.join(import_edges.sources(lines), "path", "left")), spark.createDataFrame([], "src string, dst string, deferred boolean"))
     zones = paths.select("path", F.when(F.contains("path", F.lit("/test/")), "test").otherwise("production").alias("zone"))

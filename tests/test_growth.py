@@ -5,6 +5,7 @@ import re
 from conftest import SMALL
 
 from evidentia.operators import resolve
+from evidentia.plans import edge_queries, phase_queries
 from evidentia.sources import relations as rel
 
 
@@ -24,3 +25,12 @@ def test_edges_are_dealt_by_rows(spark, monkeypatch):
     rows = rel.table(spark, SMALL, "lineitem").count()
     assert rel.tasks(spark, SMALL, "lineitem") == -(-rows // 200)
     assert rel.edges(spark, SMALL).rdd.getNumPartitions() == -(-rows // 200)
+
+
+def test_lines_are_numbered_once(spark):
+    for found in (edge_queries.python_import_edges(spark, SMALL), edge_queries.script_import_edges(spark, SMALL), edge_queries.source_metrics(spark, SMALL), phase_queries._scan(spark, SMALL, r"\.py$").lines):
+        assert "row_number" not in optimised(found)
+
+
+def test_classes_read_written_lines(spark):
+    assert "row_number" not in optimised(phase_queries.class_members(spark, SMALL))
