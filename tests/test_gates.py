@@ -84,6 +84,14 @@ def test_many_globs(spark, monkeypatch):
     assert names.distinct().count() == 40
 
 
+def test_few_globs_to_a_key(spark):
+    """A path is not multiplied by its own keys where its lane has a few globs."""
+    paths = spark.createDataFrame([(1, "src/a.py"), (2, "src/b.py")], "lane int, path string")
+    found = path_rules.matches(paths, spark.createDataFrame([(1, "src/*"), (2, "*a*"), (2, "**/b.py")], "lane int, glob string"), ["lane"])
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, "src/a.py", "src/*"), (2, "src/b.py", "**/b.py")}
+
+
 def test_write_sets(spark):
     paths = spark.createDataFrame([(1, "src/a.py"), (1, "src/x/b.py"), (1, "top.md"), (2, "src/a.py"), (3, "a/b")], "lane int, path string")
     writes = spark.createDataFrame([(1, "src/**"), (2, "docs/*"), (3, "a/**/b")], "lane int, glob string")
