@@ -89,22 +89,41 @@ def tool_coupling(edges: DataFrame, paths: DataFrame, shared: str, tools: str) -
 def strong_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
     """(node, component, size) of the strongly connected components with more than one node; component is the least node.
 
-    The graph is made small first, again and again: chains of nodes with one way in and one way out become one edge, by pointer doubling, and nodes
+    The graph is made small first, again and again. A sparse part of it, the outermost ways of each node, has components that lie inside those of the whole: each of them becomes one
+    node. Chains of nodes with one way in and one way out become one edge, by pointer doubling, and nodes
     without a way in or out are trimmed. A chain's nodes are in the component of its ends if that is one component, else in none. Of what is
-    left, each round spreads, forward and then backward inside equal forward labels, the first label (in an order of hashes) that reaches a node; a node whose label is its root's
-    and that reaches the root back is in the root's component, which is taken out. Every step is a join and a partial minimum. A rest of at most `finish` edges, as counted,
-    is small enough for one task, which saves the rounds that it would take.
+    left, each round spreads, forward and then backward inside equal forward labels, the first label (that of the node with the most ways) that reaches a node; a node whose label is its root's
+    and that reaches the root back is in the root's component, which is taken out. Every step is a join and a partial minimum. A rest of at most `finish` edges, as counted, and weakly connected classes of
+    at most so many, are small enough for one task, which saves the rounds that they would take.
     """
     e = written(edges.select("src", "dst").where("src <> dst").distinct())
     found: list[DataFrame] = []  # (node, comp) of components that are done
-    chains: list[DataFrame] = []  # (node, first, last) in the order of contraction
+    steps: list[tuple[str, DataFrame]] = []  # what became smaller, in order: chains (node, first, last) and merged nodes (node, component)
     size = e.count()
     while size > finish:
+        before = size
+        sparse = written(_outermost(e))
+        if 2 * sparse.count() <= size:
+            merged = written(strong_components(sparse, finish).select("node", "component"))
+            if not merged.isEmpty():
+                steps.append(("merged", merged))
+                e = written(_contracted(e, merged))
+                size = e.count()
+        if 2 * size <= before:
+            continue
         e, chain, cycles = _without_chains(e)
-        found.append(cycles)
-        chains.append(chain)
-        e = written(_trimmed(_trimmed(_trimmed(e))))
-        before, size = size, e.count()
+        if chain is not None:
+            found.append(cycles)
+            steps.append(("chain", chain))
+        for _ in range(3):
+            e = written(_trimmed(e))
+            wider, size = size, e.count()
+            if 10 * size > 9 * wider:
+                break
+        if size and 4 * size > 3 * before:
+            small, e = _by_classes(e, finish)
+            found.append(small)
+            size = e.count()
         if size and 4 * size > 3 * before:
             members = _taken_out(e)
             found.append(members)
@@ -112,21 +131,52 @@ def strong_components(edges: DataFrame, finish: int = FINISH) -> DataFrame:
             e = written(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
             size = e.count()
     if size:
-        kind = e.schema["src"].dataType.simpleString()
-        found.append(written(e.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_local_components, f"node {kind}, comp {kind}")))
-    if not found:
+        found.append(_finished(e.withColumn("part", F.lit(0))))
+    if not found and not steps:
         return e.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size"))
-    comps = reduce(DataFrame.union, found)
-    for chain in reversed(chains):
-        if not chain.isEmpty():  # ends that are in no larger component stand for themselves
+    comps = reduce(DataFrame.union, found) if found else e.select(F.col("src").alias("node"), F.col("src").alias("comp"))
+    for kind, step in reversed(steps):
+        if kind == "merged":  # a merged node's members are where it is; nodes in no larger component stand for themselves
+            placed = step.join(comps.select(F.col("node").alias("component"), "comp"), "component", "left").select("node", F.coalesce("comp", "component").alias("comp"))
+            comps = written(comps.union(placed).distinct())
+        elif not step.isEmpty():  # ends that are in no larger component stand for themselves
             end = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"))  # noqa: B023, E731
-            placed = chain.join(end("first"), "first", "left").join(end("last"), "last", "left").select("node", "first", F.coalesce("comp_first", "first").alias("comp"), F.coalesce("comp_last", "last").alias("other")).where("comp = other")
+            placed = step.join(end("first"), "first", "left").join(end("last"), "last", "left").select("node", "first", F.coalesce("comp_first", "first").alias("comp"), F.coalesce("comp_last", "last").alias("other")).where("comp = other")
             own = placed.select(F.col("first").alias("node"), "comp").distinct()
             comps = written(comps.union(placed.select("node", "comp")).union(own).distinct())
     names = comps.groupBy("comp").agg(F.min("node").alias("component"), F.count("*").alias("size")).where("size > 1")
     return comps.join(names, "comp").select("node", "component", "size")
 
 
+def _outermost(e: DataFrame) -> DataFrame:
+    """Of each node the ways to and from its least and its greatest neighbour: at most four edges a node, which go far both up and down."""
+    ends = lambda node, other: e.groupBy(F.col(node).alias("node")).agg(F.min(other).alias("low"), F.max(other).alias("high")).select("node", F.explode(F.array_distinct(F.array("low", "high"))).alias("other"))
+    return ends("src", "dst").select(F.col("node").alias("src"), F.col("other").alias("dst")).union(ends("dst", "src").select("other", "node")).distinct()
+
+
+def _contracted(e: DataFrame, merged: DataFrame) -> DataFrame:
+    """Edges with each node of merged (node, component) as its component."""
+    at = lambda side: merged.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}"))
+    moved = e.join(at("src"), "src", "left").join(at("dst"), "dst", "left").select(F.coalesce("in_src", "src").alias("src"), F.coalesce("in_dst", "dst").alias("dst"))
+    return moved.where("src <> dst").distinct()
+
+
+def _finished(e: DataFrame) -> DataFrame:
+    """(node, comp) of edges (src, dst, part): parts without edges between them and of bounded size, each finished in one task."""
+    kind = e.schema["src"].dataType.simpleString()
+    return written(e.groupBy("part").applyInPandas(_local_components, f"node {kind}, comp {kind}"))
+
+
+def _by_classes(e: DataFrame, finish: int) -> tuple[DataFrame, DataFrame]:
+    """(node, comp) of the weakly connected classes of at most `finish` edges, which fill tasks of about that many; the edges of larger classes."""
+    classes = clusters(e.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "src")
+    placed = written(e.join(classes, "src"))
+    fit = written(placed.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") <= finish))
+    edges = fit.agg(F.sum("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-2 * edges // max(finish, 1)))))
+    return _finished(placed.join(fit, "cluster").select("src", "dst", part.alias("part"))), written(placed.join(fit, "cluster", "left_anti").select("src", "dst"))
+
+
 def _local_components(edges: pd.DataFrame) -> pd.DataFrame:
     """(node, comp) of a small graph: a first search orders the nodes by when it leaves them, a second one goes back along edges in that order."""
     names, ends = np.unique(edges[["src", "dst"]].to_numpy().reshape(-1), return_inverse=True)
@@ -167,13 +217,15 @@ def _trimmed(e: DataFrame) -> DataFrame:
     return e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
 
-def _without_chains(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Edges with each chain as one edge; (node, first, last) of the chains' nodes and the ends; (node, comp) of cycles that are nothing but a chain."""
+def _without_chains(e: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Edges with each chain as one edge; (node, first, last) of the chains' nodes and the ends; (node, comp) of cycles that are nothing but a chain. Without chains the edges stay, and there is no more."""
     ins = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("first"))
     outs = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.min("dst").alias("last"))
     inner = written(ins.where("n_in = 1").join(outs.where("n_out = 1"), "node").select("node", "first", "last", F.col("node").alias("low")))
     names = inner.select("node")
     steps, left = 1, inner.count()
+    if not left:
+        return e, None, None
     state = inner
     while left and steps < 2 * left:  # after `steps` steps each way; a cycle has been round by then
         pending = reduce(DataFrame.union, [state.join(names.withColumnRenamed("node", side), side, "left_semi").select("node") for side in ("first", "last")])
@@ -193,7 +245,8 @@ def _without_chains(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _taken_out(e: DataFrame) -> DataFrame:
     """(node, comp) of the roots' components: of each label that has spread, the nodes that reach its root back."""
-    start = nodes(e).select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root")).alias("label"))
+    ends = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    start = ends.select("node", F.struct((-F.least("o", "i")).alias("ways"), F.xxhash64("node").alias("h"), F.col("node").alias("root")).alias("label"))
     ahead = _first_reaching(e, start)
     inside = e.join(ahead.withColumnRenamed("node", "src"), "src").join(ahead.select(F.col("node").alias("dst"), F.col("label").alias("label_dst")), "dst").where("label = label_dst")
     back = written(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct())

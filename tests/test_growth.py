@@ -1,10 +1,12 @@
 """What keeps a query's cost in step with its input: rows that are dealt by their number, keys that are tried once, lines that are numbered once."""
 
+import random
 import re
 
+import pytest
 from conftest import SMALL
 
-from evidentia.operators import resolve
+from evidentia.operators import graph, resolve
 from evidentia.plans import edge_queries, phase_queries
 from evidentia.sources import relations as rel
 
@@ -34,3 +36,44 @@ def test_lines_are_numbered_once(spark):
 
 def test_classes_read_written_lines(spark):
     assert "row_number" not in optimised(phase_queries.class_members(spark, SMALL))
+
+
+def _reachable(pairs):
+    ways = {}
+    for a, b in pairs:
+        ways.setdefault(a, set()).add(b)
+    out = {}
+    for n in {x for p in pairs for x in p}:
+        seen, new = set(), {n}
+        while new:
+            new = {y for x in new for y in ways.get(x, ())} - seen
+            seen |= new
+        out[n] = seen
+    return out
+
+
+def _strong(pairs):
+    reach, out = _reachable(pairs), {}
+    for n, to in reach.items():
+        own = {m for m in to if n in reach[m]}
+        if len(own) > 1:
+            out[n] = (min(own), len(own))
+    return out
+
+
+def test_separate_components_take_no_rounds(spark, monkeypatch):
+    """Copies of a dense graph, as many as there may be: labels need not be spread hop by hop over all of them."""
+    monkeypatch.setattr(graph, "_taken_out", lambda e: pytest.fail("labels were spread"))
+    rng = random.Random(4)
+    own = {(rng.randrange(12), rng.randrange(12)) for _ in range(60)}
+    pairs = [(a + 12 * k, b + 12 * k) for k in range(6) for a, b in own if a != b]
+    found = graph.strong_components(spark.createDataFrame(pairs, "src long, dst long"), finish=60)
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == _strong(pairs)
+
+
+def test_one_large_class_is_contracted(spark):
+    """A class that is larger than what one task finishes, with few ways back."""
+    rng = random.Random(0)
+    pairs = {(a, b) for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(400))} | {tuple(sorted(rng.sample(range(60), 2), reverse=True)) for _ in range(2)}
+    found = graph.strong_components(spark.createDataFrame(sorted(pairs), "src long, dst long"), finish=20)
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == _strong(pairs)
