@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.sources.relations import GENESIS
+from evidentia.sources.written import written
 
 SPAN = 4096
 #: Legal moves of a change.
@@ -18,18 +19,22 @@ def with_previous(events: DataFrame) -> DataFrame:
     return events.join(before, "seq", "left")
 
 
-def violations(events: DataFrame) -> DataFrame:
-    """(seq, problem): gaps in seq, links that do not fit, payloads that do not fit their hash, ids used twice."""
-    linked = with_previous(events)
+def violations(events: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(seq, problem): gaps in seq, links that do not fit, payloads that do not fit their hash, ids used twice. tasks: how many to deal the events over, where their number is known."""
+    dealt = lambda rows, key: rows.repartition(tasks, key) if tasks else rows
+    altered = (F.col("payload_hash") != F.sha2("payload", 256)).alias("altered")
+    own = written(events.select("seq", "event_id", "prev_hash", "payload_hash", altered))  # read for each end of a link, and for ids; payloads stay behind
+    linked = with_previous(dealt(own.drop("event_id"), "seq"))
     first = F.col("seq") == 1
     tests = [
         ("gap", ~first & F.col("has_before").isNull()),
         ("link", F.col("prev_hash") != F.when(first, F.lit(GENESIS)).otherwise(F.col("expected"))),
-        ("payload", F.col("payload_hash") != F.sha2("payload", 256)),
+        ("payload", F.col("altered")),
     ]
-    own = linked.select("seq", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in tests)))).alias("problem"))
-    twice = events.groupBy("event_id").agg(F.count("*").alias("n"), F.max("seq").alias("seq")).where("n > 1").select("seq", F.lit("repeated_id").alias("problem"))
-    return own.union(twice)
+    found = linked.select("seq", F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in tests)))).alias("problem"))
+    ids = dealt(own.select("event_id", "seq"), "event_id")
+    twice = ids.groupBy("event_id").agg(F.count("*").alias("n"), F.max("seq").alias("seq")).where("n > 1").select("seq", F.lit("repeated_id").alias("problem"))
+    return found.union(twice)
 
 
 def projection(events: DataFrame) -> DataFrame:

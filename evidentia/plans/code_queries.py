@@ -263,7 +263,7 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 @query("tampered", """, l as (select *, lag(payload_hash) over (order by seq) as expected from tampered where seq % 5000 <> 77), p as (select seq, case when seq > 1 and (seq - 1) % 5000 = 77 then 'gap' end as g, case when seq > 1 and (seq - 1) % 5000 <> 77 and prev_hash <> expected or seq = 1 and prev_hash <> repeat('0', 64) then 'link' end as k,
   case when payload_hash <> sha256(payload) then 'payload' end as h from l) select seq, problem from (select seq, unnest([g, k, h]) as problem from p) where problem is not null""")
 def ledger_violations(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.violations(rel.ledger(spark, d, tampered=True).where("seq % 5000 <> 77"))
+    return ledger.violations(rel.ledger(spark, d, tampered=True).where("seq % 5000 <> 77"), tasks=rel.tasks(spark, d, "events"))
 
 
 @query("ledger", "select seq, event_id, schema, prev_hash, payload_hash, kind, payload from ledger")

@@ -303,7 +303,7 @@ GENESIS = "0" * 64
 
 def ledger(spark: SparkSession, sf_dir: str, tampered: bool = False) -> DataFrame:
     """seq follows event_id over the whole table: numbered per range of ids, with the ranges' counts carried over."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "props").withColumn("span", F.floor(F.col("event_id") / 4096))
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "props").withColumn("span", F.floor(F.col("event_id") / 4096)).repartition(tasks(spark, sf_dir, "events"), "span")
     counts = events.groupBy("span").agg(F.count("*").alias("n"), F.max_by("props", "event_id").alias("tail"))
     ahead = Window.orderBy("span")
     before = counts.select(

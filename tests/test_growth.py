@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 
 from evidentia.operators import graph, resolve
-from evidentia.plans import edge_queries, phase_queries
+from evidentia.plans import code_queries, edge_queries, phase_queries
 from evidentia.sources import relations as rel
 
 
@@ -77,3 +77,9 @@ def test_one_large_class_is_contracted(spark):
     pairs = {(a, b) for a, b in (sorted(rng.sample(range(60), 2)) for _ in range(400))} | {tuple(sorted(rng.sample(range(60), 2), reverse=True)) for _ in range(2)}
     found = graph.strong_components(spark.createDataFrame(sorted(pairs), "src long, dst long"), finish=20)
     assert {r[0]: (r[1], r[2]) for r in found.collect()} == _strong(pairs)
+
+
+def test_ledger_is_numbered_once(spark, monkeypatch):
+    assert "row_number" not in optimised(code_queries.ledger_violations(spark, SMALL))
+    monkeypatch.setattr(rel, "DEALT", 50)
+    assert rel.ledger(spark, SMALL).rdd.getNumPartitions() == -(-rel.table(spark, SMALL, "events").count() // 50)
