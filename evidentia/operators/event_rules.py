@@ -53,6 +53,11 @@ def _of(events: DataFrame, *kinds: str) -> DataFrame:
     return events.where(F.col("kind").isin(*kinds))
 
 
+def _with_fields(events: DataFrame, kinds: list[str], fields: list[str], **more: Column) -> DataFrame:
+    """Events of these kinds with those fields of p alone, and further columns: what goes through sorts and joins is no wider than its rules need."""
+    return _of(events, *kinds).select("ledger", "seq", "kind", "subject", F.struct(*(F.col(f"p.{f}").alias(f) for f in fields)).alias("p"), *(c.alias(n) for n, c in more.items()))
+
+
 def _first_seen(events: DataFrame, kind: str, ident: Column) -> DataFrame:
     return _of(events, kind).select("ledger", ident.alias("ident"), "seq").groupBy("ledger", "ident").agg(F.min("seq").alias("since"))
 
@@ -85,12 +90,12 @@ def _refused(rows: DataFrame, *rules: tuple[str, Column]) -> DataFrame:
 
 def lane_states(events: DataFrame) -> DataFrame:
     """Lane events with before (lane_path and state of the change's last lane event before it: active, retained or removed) and wip, the lanes that are active before it."""
-    own = _of(events, "lane_opened", "lane_closed")
+    own = _with_fields(events, ["lane_opened", "lane_closed"], ["lane_path", "base_head", "base_tree", "outcome", "reason"])
     state = F.when(F.col("kind") == "lane_opened", "active").otherwise(F.col("p.outcome"))
     told = own.select("ledger", "subject", "seq", F.col("p.lane_path").alias("lane_path"), state.alias("state"))
     seen = last_before(own, told, ["ledger", "subject"], "before")
     step = F.when(F.col("kind") == "lane_opened", 1).when(F.col("before.state") == "active", -1).otherwise(0)
-    return sum_before(seen.withColumn("step", step), ["ledger"], "step", "wip")
+    return sum_before(written(seen.withColumn("step", step)), ["ledger"], "step", "wip")
 
 
 def change_states(events: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def refusals(events: DataFrame) -> DataFrame:
 
     def with_change(rows: DataFrame) -> DataFrame:
         """Its status before the event, and whether it was planned by then."""
-        return last_before(_known(rows, p("subject"), planned, "is_planned"), status, ["ledger", "subject"], "was").join(plans, ["ledger", "subject"], "left")
+        return _known(last_before(rows, status, ["ledger", "subject"], "was"), p("subject"), planned, "is_planned").join(plans, ["ledger", "subject"], "left")
 
     first_repo = _of(e, "snapshot_taken").groupBy("ledger").agg(F.min_by("p.repo_id", "seq").alias("repo"))
     snaps = _known(_of(e, "snapshot_taken").join(first_repo, "ledger"), p("payload_hash"), snapshots, "again")
@@ -121,20 +126,22 @@ def refusals(events: DataFrame) -> DataFrame:
     # what must stay the same when a decision is opened again: all but its status
     fixed = F.to_json(F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, _: k != "status"))
     state = lambda c: F.coalesce(F.get_json_object(c, "$.status.state"), F.lit(""))
-    decisions = _of(e, "decision_opened", "decision_answered").withColumns({"fixed": F.when(p("kind") == "decision_opened", fixed), "opened": p("kind") == "decision_opened"})
-    kept = decisions.where("opened").select("ledger", "subject", "seq", "fixed", F.transform("p.gates", lambda g: g["id"]).alias("gates"))
-    with_last = last_before(last_before(decisions, kept, ["ledger", "subject"], "prior"), decisions.select("ledger", "subject", "seq", "opened"), ["ledger", "subject"], "latest")
-    opened = with_last.where("opened").join(_unknown_in_list(decisions.where("opened"), p("p.evidence"), facts), ["ledger", "seq"], "left")
-    out.append(_refused(opened, ("not_open", state(p("payload")) != "open"), ("unknown_fact", p("unknown")), ("reopened_wrongly", p("prior").isNotNull() & ((p("prior.fixed") != p("fixed")) | p("latest.opened")))))
+    is_opened = p("kind") == "decision_opened"
+    decisions = _with_fields(e, ["decision_opened", "decision_answered"], ["chosen"], fixed=F.when(is_opened, fixed), opened=is_opened, state=F.when(is_opened, state(p("payload"))))
+    kept = _of(e, "decision_opened").select("ledger", "subject", "seq", fixed.alias("fixed"), F.transform("p.gates", lambda g: g["id"]).alias("gates"))
+    with_last = written(last_before(written(last_before(decisions, kept, ["ledger", "subject"], "prior")), decisions.select("ledger", "subject", "seq", "opened"), ["ledger", "subject"], "latest"))
+    opened = with_last.where("opened").join(_unknown_in_list(_of(e, "decision_opened"), p("p.evidence"), facts), ["ledger", "seq"], "left")
+    out.append(_refused(opened, ("not_open", p("state") != "open"), ("unknown_fact", p("unknown")), ("reopened_wrongly", p("prior").isNotNull() & ((p("prior.fixed") != p("fixed")) | p("latest.opened")))))
     answered = with_last.where("not opened")
     out.append(_refused(answered, ("unknown_decision", p("prior").isNull()), ("not_open", ~p("latest.opened")), ("unknown_branch", ~F.array_contains("prior.gates", p("p.chosen")))))
 
     rulesets = _of(e, "ruleset_ratified").withColumn("own_hash", ruleset_hash(p("payload")))
     out.append(_refused(rulesets, ("hash", (F.coalesce("p.hash", F.lit("")) != "") & (p("p.hash") != p("own_hash")))))
 
-    changes = _known(_known(_of(e, "change_planned"), F.sha2(F.get_json_object("payload", "$.base"), 256), snapshots, "has_base"), p("subject"), planned, "again")
-    changes = last_before(changes, rulesets.select("ledger", "seq", "own_hash"), ["ledger"], "rules")
-    changes = changes.join(_unknown_in_list(changes, F.transform("p.predicted", lambda f: f["snapshot"]), snapshots), ["ledger", "seq"], "left")
+    own_plans = _with_fields(e, ["change_planned"], ["status", "brief", "brief_hash", "lineage", "predicted"], base=F.sha2(F.get_json_object("payload", "$.base"), 256))
+    changes = last_before(own_plans, rulesets.select("ledger", "seq", "own_hash"), ["ledger"], "rules")
+    changes = _known(_known(changes, p("base"), snapshots, "has_base"), p("subject"), planned, "again")
+    changes = changes.join(_unknown_in_list(own_plans, F.transform("p.predicted", lambda f: f["snapshot"]), snapshots), ["ledger", "seq"], "left")
     out.append(
         _refused(
             changes, ("not_planned", p("p.status") != "planned"), ("brief_hash", F.sha2("p.brief", 256) != p("p.brief_hash")), ("unknown_snapshot", ~p("has_base")), ("lineage", ~p("rules.own_hash").eqNullSafe(p("p.lineage"))),
@@ -142,12 +149,12 @@ def refusals(events: DataFrame) -> DataFrame:
         )
     )
 
-    moves = with_change(_of(e, "change_status"))
+    moves = with_change(_with_fields(e, ["change_status"], ["status", "reason"]))
     final, has_reason = p("p.status").isin("discarded", "landed"), F.coalesce(p("p.reason"), F.lit("")) != ""
     legal = reduce(lambda a, b: a | b, [(p("was.status") == x) & (p("p.status") == y) for x, y in MOVES])
     out.append(_refused(moves, ("reason_needed", final & ~has_reason), ("reason_unwanted", ~final & p("p.reason").isNotNull()), ("unknown_change", ~p("is_planned")), ("illegal_move", ~F.coalesce(legal, F.lit(False)))))
 
-    lanes = with_change(lane_states(e))
+    lanes = written(with_change(written(lane_states(e))))  # a look-up reads its rows twice, and two rules read what it finds
     identity = (F.coalesce("p.lane_path", F.lit("")) == "") | ~p("p.base_head").eqNullSafe(p("plan.head")) | ~p("p.base_tree").eqNullSafe(p("plan.tree"))
     out.append(_refused(lanes.where("kind = 'lane_opened'"), ("unknown_change", ~p("is_planned")), ("not_planned", ~p("was.status").eqNullSafe(F.lit("planned"))), ("identity", identity), ("second_lane", p("wip") > 0), ("retained_lane", p("before.state") == "retained")))
     held, path = p("before.state"), p("before.lane_path") != p("p.lane_path")
@@ -156,8 +163,9 @@ def refusals(events: DataFrame) -> DataFrame:
 
     out.append(_refused(_known(_of(e, "attempt_logged"), p("subject"), planned, "is_planned"), ("unknown_change", ~p("is_planned"))))
 
-    checks = _known(with_change(_of(e, "verification_recorded")), p("subject"), verified, "again")
-    checks = checks.join(_unknown_in_list(checks, F.transform("p.realized", lambda f: f["snapshot"]), snapshots), ["ledger", "seq"], "left")
+    own_checks = _with_fields(e, ["verification_recorded"], ["base_tree", "ruleset_hash", "realized"])
+    checks = _known(with_change(own_checks), p("subject"), verified, "again")
+    checks = checks.join(_unknown_in_list(own_checks, F.transform("p.realized", lambda f: f["snapshot"]), snapshots), ["ledger", "seq"], "left")
     differs = ~p("p.base_tree").eqNullSafe(p("plan.tree")) | ~p("p.ruleset_hash").eqNullSafe(p("plan.lineage"))
     out.append(
         _refused(
@@ -166,7 +174,7 @@ def refusals(events: DataFrame) -> DataFrame:
         )
     )
     out.append(_refused(e, ("unknown_kind", ~F.coalesce(p("kind").isin(*KINDS), F.lit(False)))))
-    found = reduce(DataFrame.union, out)
+    found = written(reduce(DataFrame.union, out))
     first = found.groupBy("ledger").agg(F.min("seq").alias("_first"))
     return found.join(first, "ledger").select("ledger", "seq", "kind", "reason", (p("seq") == p("_first")).alias("stops"))
 
