@@ -114,8 +114,9 @@ def ledger_stream(spark: SparkSession, d: str) -> DataFrame:
     """Tampered chains, dealt out of order over files, checked as a stream; verdicts as written by the sink."""
     base = scratch(spark)
     events = rel.ledgers(spark, d)
-    events.repartition(3, F.col("seq") % 7).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    files = max(3, rel.tasks(spark, d, "events"))  # three batches, each of files that do not grow with the table
+    events.repartition(files, F.col("seq") % 7, "ledger").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(f"{base}/in")
     ledger_stream_run(spark, stream, base)
     return spark.read.parquet(f"{base}/out")
 

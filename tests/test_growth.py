@@ -6,10 +6,12 @@ import re
 import pytest
 from conftest import SMALL
 
-from evidentia.operators import graph, resolve
-from evidentia.plans import code_queries, edge_queries, phase_queries
+from evidentia.operators import event_rules, graph, resolve
+from evidentia.plans import code_queries, edge_queries, event_queries, phase_queries, source_queries
 from evidentia.sources import relations as rel
 
+stream_run = source_queries.ledger_stream_run
+
 
 def optimised(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -83,3 +85,22 @@ def test_ledger_is_numbered_once(spark, monkeypatch):
     assert "row_number" not in optimised(code_queries.ledger_violations(spark, SMALL))
     monkeypatch.setattr(rel, "DEALT", 50)
     assert rel.ledger(spark, SMALL).rdd.getNumPartitions() == -(-rel.table(spark, SMALL, "events").count() // 50)
+
+
+def test_refusals_are_found_once(spark):
+    """What the rules find is read twice, for the rows and for the first of each ledger."""
+    assert "Window" not in optimised(event_queries.ledger_refusals(spark, SMALL))
+
+
+def test_rules_look_up_narrow_rows(spark):
+    e = event_rules.decoded(event_queries.ledger_events(spark, SMALL))
+    assert set(event_rules.lane_states(e).schema["p"].dataType.names) == {"lane_path", "base_head", "base_tree", "outcome", "reason"}
+
+
+def test_stream_files_are_dealt_by_rows(spark, monkeypatch):
+    bases = []
+    monkeypatch.setattr(rel, "DEALT", 100)
+    monkeypatch.setattr(source_queries, "ledger_stream_run", lambda session, stream, base: (bases.append(base), stream_run(session, stream, base)))
+    found = source_queries.ledger_stream(spark, SMALL)
+    assert found.count() == rel.table(spark, SMALL, "events").count()
+    assert len(spark.read.parquet(f"{bases[0]}/in").inputFiles()) > 3
