@@ -27,6 +27,13 @@ def regex(glob: Column, spanning: bool = False) -> Column:
     return F.concat(F.lit("(?s)^"), F.replace(kept, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("$"))
 
 
+def _needs(glob: Column) -> tuple[Column, Column]:
+    """What a path that the glob matches surely holds, its longest piece without wildcards, and what it surely ends in: two tests that are cheaper than an expression made anew for each pair.
+    A slash after `**` may be left out with it."""
+    pieces = F.split(F.regexp_replace(glob, r"\*\*/", "*"), r"[*?]")
+    return F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("text"))))["text"], F.regexp_replace(glob, r"(?s)^.*[*?]/?", "")
+
+
 def _glob_keys(glob: Column) -> Column:
     """What a path must have for the glob to match it: the folder before the first wildcard, a literal base name, a literal extension, and pieces of names."""
     folder = F.regexp_extract(glob, r"^([^*?]*/)", 1)
@@ -54,15 +61,17 @@ def matches(paths: DataFrame, globs: DataFrame, by: list[str], spanning: bool =
     A few globs to each of `by` are tested one by one. Of many, each is looked up by that key of it which the fewest globs have (of equals the longest): with c globs to a key, a path
     meets at most c times its own keys, however many paths there are."""
     patterns, own = globs.select(*by, "glob").distinct(), paths.select(*by, "path").distinct()
-    fits = F.expr("path rlike regex")
+    fits = F.expr("contains(path, held) and endswith(path, tail) and path rlike regex")
+    held, tail = _needs(F.col("glob"))
+    tests = [held.alias("held"), tail.alias("tail"), regex(F.col("glob"), spanning).alias("regex")]
     if by and (patterns.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW:
-        return own.join(patterns.withColumn("regex", regex(F.col("glob"), spanning)), by).where(fits).select(*by, "path", "glob")
+        return own.join(patterns.select(*by, "glob", *tests), by).where(fits).select(*by, "path", "glob")
     keyed = patterns.select(*by, "glob", F.explode_outer(_glob_keys(F.col("glob"))).alias("key"))
     shared = keyed.groupBy(*by, "key").agg(F.count("*").alias("globs"))
     rarest = F.min_by("key", F.struct("globs", -F.length("key"), "key"))
     chosen = keyed.where("key is not null").join(shared, [*by, "key"]).groupBy(*by, "glob").agg(rarest.alias("key"))
     free = keyed.where("key is null").select(*by, "glob", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<string>")).alias("key"))
-    indexed = chosen.unionByName(free).select(*by, "glob", F.xxhash64("key").alias("hash"), regex(F.col("glob"), spanning).alias("regex"))
+    indexed = chosen.unionByName(free).select(*by, "glob", F.xxhash64("key").alias("hash"), *tests)
     hashes = F.array_distinct(F.transform(_path_keys(F.col("path")), lambda x: F.xxhash64(x)))
     found = own.select(*by, "path", F.explode(hashes).alias("hash"))
     return found.join(indexed, [*by, "hash"]).where(fits).select(*by, "path", "glob")

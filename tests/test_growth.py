@@ -6,7 +6,7 @@ import re
 import pytest
 from conftest import SMALL
 
-from evidentia.operators import event_rules, graph, resolve
+from evidentia.operators import event_rules, graph, path_rules, resolve
 from evidentia.plans import code_queries, edge_queries, event_queries, phase_queries, source_queries
 from evidentia.sources import relations as rel
 
@@ -104,3 +104,15 @@ def test_stream_files_are_dealt_by_rows(spark, monkeypatch):
     found = source_queries.ledger_stream(spark, SMALL)
     assert found.count() == rel.table(spark, SMALL, "events").count()
     assert len(spark.read.parquet(f"{bases[0]}/in").inputFiles()) > 3
+
+
+def test_literals_are_tested_before_expressions(spark):
+    """Both forms of the look-up; optional folders at a glob's start and inside it, and a name that ends in a mark."""
+    paths = spark.createDataFrame([(1, p) for p in ("b.py", "a/b.py", "a/x/b.py", "a/xb.py", "ab.py", "a/b.pyc", "")], "lane int, path string")
+    globs = spark.createDataFrame([(1, g) for g in ("**/b.py", "a/**/b.py", "a/**", "a/?b.*", "*", "b.py")], "lane int, glob string")
+    want = {("b.py", "**/b.py"), ("a/b.py", "**/b.py"), ("a/x/b.py", "**/b.py"), ("a/b.py", "a/**/b.py"), ("a/x/b.py", "a/**/b.py"), ("a/xb.py", "a/?b.*"), ("b.py", "b.py")}
+    want |= {(p, "*") for p in ("b.py", "a/b.py", "a/x/b.py", "a/xb.py", "ab.py", "a/b.pyc", "")} | {(p, "a/**") for p in ("a/b.py", "a/x/b.py", "a/xb.py", "a/b.pyc")}
+    for by, p, g in ((["lane"], paths, globs), ([], paths.drop("lane"), globs.drop("lane"))):
+        found = path_rules.matches(p, g, by, spanning=True)
+        assert {(r.path, r.glob) for r in found.collect()} == want
+        assert "EndsWith" in optimised(found)
