@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators.asof import sum_before
+from evidentia.sources.written import written
 
 #: Fixed values, in the order in which a project is tested for them: (language, extensions, depth, large-file lines, complexity threshold, marker files; `*` stands for a name before an extension).
 LANGUAGES = [
@@ -164,28 +165,58 @@ def top_decisions(decisions: DataFrame, least: float = 8.0, n: int = 2) -> DataF
 def similar_bodies(functions: DataFrame, least_lines: int = 15, similarity: float = 0.9) -> DataFrame:
     """(a, b, similarity): functions (name, file, body) of different files whose normalised lines have 2 LCS / (n + m) of 0.9 or more.
 
+    Equal bodies are one class, and lines are known by 128 bits of their digest, so no text is shuffled and a pair of bodies is compared once, however many functions share them.
     Lossless candidates: lines are numbered by occurrence and ordered by rarity; a pair that similar shares a line among the first
-    n - ceil(9 n / 11) + 1 of both. Candidates are an equi-join on those, lengths are compared before any text, and only then is the LCS taken, in batches.
-    Lines that very many functions share sort last and hardly ever become keys.
+    n - ceil(9 n / 11) + 1 of both. Lines that one body alone holds come first and are counted only. Candidates are an equi-join on the others, lengths are compared before any line,
+    and only then is the LCS taken, in batches.
+    Lines that very many bodies share sort last and hardly ever become keys.
     """
-    lines = F.split(text.body_normalised(F.col("body")), "\n")
-    own = functions.select("name", "file", lines.alias("lines")).where(F.size("lines") >= least_lines).withColumn("n", F.size("lines"))
-    each = own.select("name", "n", F.posexplode("lines").alias("p", "line"))
-    numbered = each.withColumn("k", F.row_number().over(Window.partitionBy("name", "line").orderBy("p")))
-    rare = numbered.groupBy("line", "k").agg(F.count("*").alias("held_by"))
-    ranked = numbered.join(rare, ["line", "k"]).withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("held_by", "line", "k")))
-    keys = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 9 / 11) + 1).select("name", "n", F.xxhash64("line", "k").alias("key"))
-    a, b = keys.select(F.col("name").alias("a"), F.col("n").alias("n_a"), "key"), keys.select(F.col("name").alias("b"), F.col("n").alias("n_b"), "key")
+    members, bodies = _body_classes(functions, least_lines)
+    each = bodies.select("id", "n", F.explode(_numbered(F.col("lines"))).alias("key"))
+    held = each.groupBy("key").agg(F.count("*").alias("held_by")).where("held_by > 1")
+    ranked = each.join(held, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("held_by", "key"))).alias("shared"))  # the lines of one body
+    first = F.col("n") - F.ceil(F.col("n") * 9 / 11) + 1 - (F.col("n") - F.size("shared"))
+    keys = written(ranked.where(first > 0).select("id", "n", F.explode(F.array_distinct(F.slice("shared.key", F.lit(1), first.cast("int")))).alias("key")))
+    a, b = keys.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "key"), keys.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "key")
     bound = 2 * F.least("n_a", "n_b") >= similarity * (F.col("n_a") + F.col("n_b"))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & bound).select("a", "b").distinct()
-    side = lambda s: own.select(F.col("name").alias(s), F.col("file").alias(f"file_{s}"), F.col("lines").alias(f"lines_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("file_a <> file_b")
+    side = lambda s: bodies.select(F.col("id").alias(s), F.col("lines").alias(f"lines_{s}"))
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([2.0 * _lcs(list(p), list(q)) / (len(p) + len(q)) for p, q in zip(x, y, strict=True)])
 
-    return both.select("a", "b", ratio("lines_a", "lines_b").alias("similarity")).where(F.col("similarity") >= similarity)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", ratio("lines_a", "lines_b").alias("similarity")).where(F.col("similarity") >= similarity)
+    x, y = (members.select(F.col("id").alias(f"id_{s}"), F.col("name").alias(s), F.col("file").alias(f"file_{s}")) for s in "xy")
+    alike = both.select(F.col("a").alias("id_x"), F.col("b").alias("id_y"), "similarity").join(x, "id_x").join(y, "id_y").where("x <> y")
+    equal = x.join(y, F.col("id_x") == F.col("id_y")).where("x < y").withColumn("similarity", F.lit(1.0)).where(F.col("similarity") >= similarity)
+    found = alike.where("file_x <> file_y").select("x", "y", "similarity").union(equal.where("file_x <> file_y").select("x", "y", "similarity"))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def _digest(x: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(x, 256)), 1, 16)
+
+
+def _body_classes(functions: DataFrame, least_lines: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, name, file) and bodies (id, lines, n), written: a body's digest and the digests of its lines. A body's lines go by its digest once."""
+    whole = text.body_normalised(F.col("body"))
+    read = functions.select("name", "file", whole.alias("whole")).withColumn("lines", F.split("whole", "\n")).where(F.size("lines") >= least_lines)
+    own = written(read.select("name", "file", _digest(F.col("whole")).alias("id"), F.transform("lines", _digest).alias("lines")))
+    bodies = own.groupBy("id").agg(F.first("lines").alias("lines"))
+    return own.select("id", "name", "file"), written(bodies.withColumn("n", F.size("lines")))
+
+
+def _numbered(lines: Column) -> Column:
+    """A name for each of the lines with its number among its equals: places in sorted order, less the place where the run of equals starts."""
+    def names(ordered: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(ordered)))
+        named = lambda start, end: F.transform(F.sequence(F.lit(0), end - start - 1), lambda k: F.xxhash64(F.get(ordered, start), k))
+        return F.flatten(F.zip_with(starts, ends, named))
+
+    # the sorted lines are an array's element, so that they are sorted once
+    return F.transform(F.array(F.array_sort(lines)), names)[0]
 
 
 def _lcs(x: list[str], y: list[str]) -> int:

@@ -116,3 +116,24 @@ def test_literals_are_tested_before_expressions(spark):
         found = path_rules.matches(p, g, by, spanning=True)
         assert {(r.path, r.glob) for r in found.collect()} == want
         assert "EndsWith" in optimised(found)
+
+
+def test_equal_bodies_are_compared_once(spark):
+    base = [f"line {k % 13}" for k in range(20)]
+    bodies = [base, base[:-1] + ["own"], base[:9] + ["x"] + base[9:], ["y"] * 3 + base[3:], [f"other {k}" for k in range(15)], ["few"]]
+    rows = [(f"f{7 * k % 24:02d}", f"file{k % 5}", "\n".join(bodies[k % 6])) for k in range(24)]
+    found = resolve.similar_bodies(spark.createDataFrame(rows, "name string, file string, body string"))
+    lines = {n: (f, b.split("\n")) for n, f, b in rows if b.count("\n") >= 14}
+    ratio = {(a, b): 2 * resolve._lcs(x, y) / (len(x) + len(y)) for a, (f, x) in lines.items() for b, (g, y) in lines.items() if a < b and f != g}
+    want = {(a, b, r) for (a, b), r in ratio.items() if r >= 0.9}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and {r for _, _, r in want} > {1.0}
+    # neither texts nor rows of lines are sorted by window
+    assert "row_number" not in optimised(found)
+
+
+def test_lines_are_numbered_among_their_equals(spark):
+    lines = spark.createDataFrame([(["b", "a", "b", "b"],)], "lines array<string>")
+    want = {("a", 0), ("b", 0), ("b", 1), ("b", 2)}
+    named = spark.createDataFrame(sorted(want), "line string, k int").selectExpr("xxhash64(line, k)")
+    assert sorted(lines.select(resolve._numbered(lines.lines)).first()[0]) == sorted(r[0] for r in named.collect())
