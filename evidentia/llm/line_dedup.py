@@ -55,14 +55,20 @@ def _bands() -> F.Column:
     return F.when(F.size("set").between(4, 5), F.array_append(of_sketch, middle)).otherwise(of_sketch)
 
 
+def shared_bands(banded: DataFrame) -> DataFrame:
+    """Distinct (key, rep) of the bands that several lines hold. Bands are dealt by key once; the count, the join and the distinct rows all read that deal."""
+    keyed = banded.select(F.explode("bands").alias("key"), F.col("lid").alias("rep")).where("key is not null").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
+    # shared keys are unique, so this is a semi-join; as one it would be moved below the deal
+    return keyed.join(shared.hint("shuffle_hash"), "key").distinct()
+
+
 def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(name, removed array<int>): the places of lines that go. docs: (doc_id, name, text), with equal names for rows equal in the others."""
     # one row per line of every text, without a shuffle; equal lines meet below, as partial aggregates
     banded = _lines(docs).select("doc_id", "name", "pos", "lid", _set().alias("set")).select("doc_id", "name", "pos", "lid", _bands().alias("bands"))
     banded = tables.written(banded)
-    keyed = banded.select(F.explode("bands").alias("key"), F.col("lid").alias("rep"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
-    active = tables.written(tables.written(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi")).distinct())
+    active = tables.written(shared_bands(banded))
     distinct = tables.written(banded.groupBy("lid").agg(F.min(F.struct("doc_id", "name", "pos")).alias("place"), F.count("*").alias("n")))
     # the sets of candidate lines, from the row that holds each first
     wanted = distinct.join(active.select(F.col("rep").alias("lid")).distinct(), "lid", "left_semi").select("place.*", "lid")

@@ -76,3 +76,11 @@ def test_lines_of_hot_buckets(spark, counted):
     # candidates of lines may be missed by the bands now and then, never the other way round
     assert kept >= set(want) and len(kept - set(want)) <= 2
     assert sum(counted) > 0 and len(set(want)) > 4
+
+
+def test_bands_are_dealt_once(spark):
+    rows = [(1, [10, 11, 11]), (2, [11, 12]), (3, [12, 13, None]), (1, [10]), (4, [14]), (5, None)]
+    found = line_dedup.shared_bands(spark.createDataFrame(rows, "lid long, bands array<long>"))
+    assert sorted(tuple(r) for r in found.collect()) == [(11, 1), (11, 2), (12, 2), (12, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count(" Exchange hashpartitioning") <= 2  # the deal, named once more by its reuse
