@@ -1,6 +1,9 @@
 """Links among the members of candidate buckets, without emitting all pairs of a bucket.
 
-First, twice, leaders are picked in every bucket (one, then up to four), compared with the members of other components, and
+Where the caller gives cheap bounds of its similarity, buckets of a few members come first: all their pairs that the bounds allow are judged
+at once, a number of pairs in proportion to the members, and those buckets are done.
+
+Then, twice, leaders are picked in every bucket (one, then up to four), compared with the members of other components, and
 let go: they have met every member. Components are contracted after each round, and buckets left with one component are done; that
 settles small buckets and most members of large groups, with a number of pairs in proportion to the members.
 
@@ -26,6 +29,8 @@ from evidentia.llm import tables
 from evidentia.llm.components import components
 
 ROUNDS = (1, 4)
+#: Members of a bucket, if not more than a block's, whose pairs are all judged at once, where there are bounds.
+FEW = 32
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -88,6 +93,18 @@ class _Links:
         moved = self.roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         self.roots = tables.written(moved.union(joined.join(self.roots.select("node"), "node", "left_anti")))
 
+    def small_buckets(self, active: DataFrame, bounds: DataFrame, allowed: str, most: int) -> DataFrame:
+        """Judges the pairs of all buckets of up to most members that are allowed by bounds (rep, ...), an expression over a and b; what is left are the larger buckets."""
+        dealt = active.join(bounds, "rep").repartition("key")
+        few = dealt.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") <= most).select("key")
+        own = dealt.join(few.hint("shuffle_hash"), "key")
+        met = own.alias("a").join(own.alias("b").hint("shuffle_hash"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & F.expr(allowed))
+        judged = tables.written(self.judge(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()))
+        self.tested = judged.where("not linked").select("a", "b")
+        self.add(judged.where("linked").select("a", "b"))
+        many = active.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > most).select("key")
+        return tables.written(active.join(many, "key", "left_semi"))
+
     def rounds(self, active: DataFrame, rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
         """Leaders meet the members of their buckets; what is left with several components, None if nothing is."""
         for leaders in rounds:
@@ -118,14 +135,18 @@ def linked_components(
     percent: int,
     block_rows: int,
     block_bytes: int | None = None,
+    bounds: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
     """(node, root) of reps with a link.
 
     active: a written table of distinct (key, rep). judge: pairs (a, b) to (a, b, linked), where pairs that are surely not linked
     may be left out. judge_blocks: members of pairs of blocks (`_blocks`) to pairs (a, b) of linked roots. payload: (rep, size in bytes, payload).
     tokens: (rep) to (rep, token), the elements of its set, once each; linked pairs have a Jaccard index of percent / 100 or more.
+    bounds: columns (rep, ...) of every rep and an expression over a and b that holds for every linked pair.
     """
     links = _Links(judge)
+    if bounds is not None:
+        active = links.small_buckets(active, *bounds, most=min(FEW, block_rows))
     left = links.rounds(active)
     if left is not None:
         hot = left.join(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key").hint("shuffle_hash"), "key", "left_semi")

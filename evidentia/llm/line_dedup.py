@@ -74,8 +74,13 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = distinct.join(active.select(F.col("rep").alias("lid")).distinct(), "lid", "left_semi").select("place.*", "lid")
     of_row = wanted.groupBy("name").agg(F.collect_list("pos").alias("places"))
     texts = docs.select("name", "text").join(of_row.hint("shuffle_hash"), "name")
-    held = texts.select(F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), "places").where(F.array_contains("places", F.col("pos")))
-    sets = tables.written(held.select(F.xxhash64("line").alias("rep"), "line").dropDuplicates(["rep"]).select("rep", _set().alias("set")))
+    # the lines are an array's element, so that a text is split once
+    held = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.transform("places", lambda pos: F.get(lines, pos)))[0]
+    # a line is wanted at one place, so its copies are those of equal rows, which lie together
+    own = texts.select("name", F.explode(held).alias("line")).withColumn("rep", F.xxhash64("line")).dropDuplicates(["name", "rep"])
+    # bit k: whether the set holds an odd number of elements that end in k; sets differ in as many elements as their parities do, at least
+    parity = F.expr("aggregate(set, 0L, (bits, h) -> bits ^ shiftleft(1L, cast(h & 63L as int)))")
+    sets = tables.written(own.select("rep", _set().alias("set")).select("rep", "set", F.size("set").alias("n"), parity.alias("parity")))
 
     def judge(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
@@ -84,12 +89,15 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         both = pairs.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("sizes"))
         return both.select("a", "b", (100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).alias("linked"))
 
+    def allowed(a: str, b: str) -> str:
+        return f"""least({a}.n, {b}.n) * 100 >= {percent} * greatest({a}.n, {b}.n)
+            and {100 + percent} * bit_count({a}.parity ^ {b}.parity) <= {100 - percent} * ({a}.n + {b}.n)"""
+
     def judge_blocks(blocks: DataFrame) -> DataFrame:
         a, b, at = blocks.where("half <> 2").alias("a"), blocks.where("half <> 1").alias("b"), ["key", "i", "j"]
         # (100 + percent) * common >= percent * (sizes), behind bounds of the difference by the sizes and by the parities; only linked pairs leave the join
         linked = F.expr(f"""(a.half = 0 and b.half = 0 and a.root < b.root or a.half = 1 and b.half = 2 and a.root <> b.root)
-            and least(a.payload.n, b.payload.n) * 100 >= {percent} * greatest(a.payload.n, b.payload.n)
-            and {100 + percent} * bit_count(a.payload.parity ^ b.payload.parity) <= {100 - percent} * (a.payload.n + b.payload.n)
+            and {allowed("a.payload", "b.payload")}
             and {100 + percent} * size(array_intersect(a.payload.set, b.payload.set)) >= {percent} * (a.payload.n + b.payload.n)""")
         met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in at] + [linked])
         return met.select(F.least("a.root", "b.root").alias("a"), F.greatest("a.root", "b.root").alias("b"))
@@ -97,10 +105,9 @@ def removed_places(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def tokens(reps: DataFrame) -> DataFrame:
         return sets.join(reps, "rep", "left_semi").select("rep", F.explode("set").alias("token"))
 
-    # bit k: whether the set holds an odd number of elements that end in k; sets differ in as many elements as their parities do, at least
-    parity = F.expr("aggregate(set, 0L, (bits, h) -> bits ^ shiftleft(1L, cast(h & 63L as int)))")
-    payload = sets.select("rep", (8 * F.size("set")).alias("size"), F.struct("set", F.size("set").alias("n"), parity.alias("parity")).alias("payload"))
-    roots = linked_components(active, judge, judge_blocks, payload, tokens, percent, BLOCK_ROWS).select(F.col("node").alias("lid"), "root")
+    payload = sets.select("rep", (8 * F.col("n")).alias("size"), F.struct("set", "n", "parity").alias("payload"))
+    bounds = sets.select("rep", "n", "parity"), allowed("a", "b")
+    roots = linked_components(active, judge, judge_blocks, payload, tokens, percent, BLOCK_ROWS, bounds=bounds).select(F.col("node").alias("lid"), "root")
     rooted = distinct.select("lid", "place", "n").join(roots, "lid", "left").where("n > 1 or root is not null").select("lid", "place", F.coalesce("root", "lid").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("place").alias("keeper"))
     decided = rooted.join(keepers, "root").select("lid", "keeper")

@@ -84,3 +84,18 @@ def test_bands_are_dealt_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(11, 1), (11, 2), (12, 2), (12, 3)]
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan and plan.count(" Exchange hashpartitioning") <= 2  # the deal, named once more by its reuse
+
+
+def test_pairs_of_small_buckets_are_judged_at_once(spark, monkeypatch):
+    """Leaders get the buckets of more members only; the links are those of brute force."""
+    left, own = [], buckets._Links.rounds
+    monkeypatch.setattr(buckets._Links, "rounds", lambda self, active, *rounds: left.append(active.count()) or own(self, active, *rounds))
+    lines = _variants(14, 60, range(0, 7)) + _variants(9, 40, range(2, 5))
+    docs = spark.createDataFrame(list(enumerate(lines)) + [(3, lines[3])], "doc_id long, text string")
+    sets = [frozenset(r.set) for r in docs.select("doc_id", F.col("text").alias("line")).dropDuplicates().orderBy("doc_id").select(line_dedup._set().alias("set")).collect()]
+    want = _roots(sets, lambda both, either: 100 * both >= 80 * either)
+    kept = {r.doc_id for r in line_dedup.dedup(docs).where("text <> ''").collect()}
+    assert kept >= set(want) and len(kept - set(want)) <= 1 and 1 < len(set(want)) < len(lines)
+    assert left == [0]
+    monkeypatch.setattr(buckets, "FEW", 1)  # all of them by leaders
+    assert {r.doc_id for r in line_dedup.dedup(docs).where("text <> ''").collect()} == kept and left[1] > 0
