@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
+import duckdb
 import pytest
 from conftest import SMALL
 
-from evidentia.operators import event_rules, graph, path_rules, resolve
+from evidentia.operators import classes, event_rules, graph, path_rules, resolve
 from evidentia.plans import code_queries, edge_queries, event_queries, phase_queries, source_queries
 from evidentia.sources import relations as rel
 
@@ -40,6 +42,29 @@ def test_classes_read_written_lines(spark):
     assert "row_number" not in optimised(phase_queries.class_members(spark, SMALL))
 
 
+def test_class_lines_are_not_broadcast(spark):
+    """Written lines are small as files and large as rows: whatever Spark takes them for, none go through the driver."""
+    found = phase_queries.class_members(spark, SMALL)
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in optimised(found)
+
+
+def test_classes_of_odd_files(spark):
+    """Nested, indented, empty and last classes, comments and blank lines that end none, lines without text, without a path, and files without classes, against the SQL."""
+    rng = random.Random(5)
+    kinds = ["class A(B):", "class  C_1:", "def f(self): self.a", "async def test_b(): self.b, self.c", "def _x(): pass", "x = self.d + self.a", "# self.e class D:", "", "   ", "classy = 1", "class E(self.g):", "class"]
+    rows = [(f"f{k}" if k else None, n + 1, None if rng.random() < 0.03 else " " * rng.choice([0, 0, 2, 4, 4, 6]) + rng.choice(kinds)) for k in range(60) for n in range(rng.randrange(1, 40))]
+    rows += [("none", 1, "x = 1"), ("none", 2, "  self.a"), ("only", 1, "class A: self.a"), ("last", 1, "self.a"), ("last", 2, "  class Z:")]
+    con = duckdb.connect()
+    con.execute("create table code_lines (path varchar, line int, text varchar)")
+    con.executemany("insert into code_lines values (?, ?, ?)", rows)
+    want = con.execute(f"with o as (select 1){phase_queries._MEMBERS.format('code_lines')} select path, name, line, loc, methods, prefixes, attributes from g").fetchall()
+    found = classes.members(spark.createDataFrame(rows, "path string, line int, text string").repartition(3))
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want) and len(want) > 100
+    assert any(r[0] is None for r in want) and any(r[6] > 2 for r in want) and any(r[5] for r in want)
+
+
 def _reachable(pairs):
     ways = {}
     for a, b in pairs:
